@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silterra.llm import toxicity
+from silterra.llm import dartminhash, toxicity
 from silterra.session import table
 
 
+def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents: ``(doc_id, group_id)`` of every member."""
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and flag of every document, by a classifier fitted on a bounded sample of ``labels``."""
     docs = table(spark, sf_dir, "documents")
@@ -17,6 +22,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_dartminhash": op2_dartminhash,
     "op6_toxicity": op6_toxicity,
 }
 

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+#: A piece holds fewer texts than this power of two, so that a text's number in it fits beside a hash.
+GROUP_BITS = 16
 U64 = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
 
@@ -38,7 +40,7 @@ def text_chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int,
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + (1 << GROUP_BITS))
         yield i, j - i, raw[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
@@ -132,13 +134,27 @@ def characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return c[kept].astype(U64), place[mark]
 
 
-def occurrences(groups: np.ndarray, keys: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``(group, key)`` with counts. Groups are small integers, sorted; the key's upper bits tell keys apart."""
+def occurrences(groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``(group, key, count)``: groups are a piece's text numbers, of a key's 64 bits the upper 48 count."""
     if not len(keys):
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-    bits = max(1, int(n_groups - 1).bit_length()) if n_groups > 1 else 1
-    packed = np.sort((groups.astype(U64) << U64(64 - bits)) | (keys >> U64(bits)))
+    packed = np.sort((groups.astype(U64) << U64(64 - GROUP_BITS)) | (keys >> U64(GROUP_BITS)))
     new = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
     counts = np.diff(np.append(new, len(packed)))
     found = packed[new]
-    return (found >> U64(64 - bits)).astype(np.int64), mix(found << U64(bits)), counts
+    return (found >> U64(64 - GROUP_BITS)).astype(np.int64), mix(found << U64(GROUP_BITS)), counts
+
+
+def shingles(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, hash)`` of every run of n words; a shorter text has one shingle of all its words, if only of none."""
+    count = np.diff(first)
+    runs = np.maximum(count - n + 1, 1)
+    text = np.repeat(np.arange(len(count)), runs)
+    start = np.repeat(first[:-1] - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(len(text))
+    last = np.repeat(first[1:], runs)
+    padded = np.append(h, np.zeros(n, U64))
+    out = np.zeros(len(text), U64)
+    for k in range(n):
+        word = np.where(start + k < last, padded[np.minimum(start + k, len(padded) - 1)], U64(k + 1))
+        out = mix(out * U64(0x9E3779B97F4A7C15) + word)
+    return text, out
