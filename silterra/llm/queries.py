@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silterra.llm import dartminhash, toxicity
+from silterra.llm import dartminhash, suffixdedup, toxicity
 from silterra.session import table
 
 
@@ -15,6 +15,11 @@ def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that lie in windows of 50 words that occur repeatedly, and how many of them are cut."""
+    return suffixdedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and flag of every document, by a classifier fitted on a bounded sample of ``labels``."""
     docs = table(spark, sf_dir, "documents")
@@ -23,6 +28,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_dartminhash": op2_dartminhash,
+    "op5_suffixdedup": op5_suffixdedup,
     "op6_toxicity": op6_toxicity,
 }
 
