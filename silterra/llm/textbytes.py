@@ -1,6 +1,6 @@
 """Arrow string columns as NumPy arrays: bytes, words, word hashes and folded characters of many texts at once.
 
-A word is a run of ASCII letters and digits and of non-ASCII characters, with ASCII letters folded to lower case; a
+A word is a run of ASCII letters and digits and of non-ASCII characters, with the letters of ASCII and Latin-1 folded to lower case; a
 character of three or more bytes from U+3000 on is a word of its own, so that unspaced scripts have words too.
 """
 
@@ -23,6 +23,15 @@ for _b in range(256):
         FOLD[_b] = ord(chr(_b).lower()) if _b < 0x80 else _b
 
 
+def fold(buf: np.ndarray) -> np.ndarray:
+    """Each byte of a word in lower case, 0 for all others."""
+    c = FOLD[buf]
+    latin = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    upper = (c[latin] >= 0x80) & (c[latin] <= 0x9E) & (c[latin] != 0x97)
+    c[latin[upper]] += 0x20
+    return c
+
+
 def text_chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, rows, bytes, offsets)`` for pieces of about ``most`` bytes; a longer text is a piece by itself.
 
@@ -75,7 +84,7 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    c = FOLD[buf]
+    c = fold(buf)
     inside = c != 0
     start = inside.copy()
     start[1:] &= ~inside[:-1]
