@@ -1,10 +1,187 @@
-"""Queries of the deduplication operators, by name, and their DuckDB SQL."""
+"""Queries of the deduplication operators, by name, and their DuckDB SQL. Each runs over its whole table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from silterra.config import MinHashConfig
+from silterra.functions import text as T
+from silterra.operators import apply, exact, minhash
+from silterra.plans import oracles
+from silterra.session import Scratch, table
+from silterra.sources import files
+
+FUZZY = MinHashConfig()
+CHUNKS = 4
+RATE, MAX_SIZE, SEED = 0.5, 4, 7
+#: Conversations are taken as the lines of so many files.
+FILES = 64
+TOKENIZERS = "/opt/tokenizers"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir)
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lines of files: the source is the file, ids give the order."""
+    rows = files.with_path_ids(_docs(spark, sf_dir).select("doc_id", "source"), "source")
+    line = F.row_number().over(Window.partitionBy("path_id").orderBy("doc_id")) - 1
+    return rows.withColumn("line_num", line.cast("long"))
+
+
+def path_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.with_path_ids(_docs(spark, sf_dir).select("doc_id", "source"), "source")
+    parts = [files.path_chunk(rows, k, CHUNKS).withColumn("chunk", F.lit(k).cast("long")) for k in range(CHUNKS)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.select("doc_id", "path_id", "chunk")
+
+
+def path_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(spark, sf_dir).groupBy("path_id").agg((F.max("line_num") + 1).alias("lines"))
+
+
+def docid_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _numbered(spark, sf_dir).withColumn("packed", files.pack(F.col("path_id"), F.col("line_num")))
+    path, line = files.unpack(F.col("packed"))
+    return rows.select("doc_id", "packed", path.alias("path_id"), line.alias("line_num"))
+
+
+def exact_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_annotate(_docs(spark, sf_dir)).select("doc_id", "exact_dedup.*")
+
+
+def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.text_groups(_docs(spark, sf_dir)).where("cc_size > 1").select("doc_id", "cc_id", "cc_size")
+
+
+def exact_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_prune(_docs(spark, sf_dir))
+
+
+def cc_size_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.size_index(exact.text_groups(_docs(spark, sf_dir)))
+
+
+def cc_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.size_histogram(exact.text_groups(_docs(spark, sf_dir)))
+
+
+def dedup_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.metrics(exact.text_groups(_docs(spark, sf_dir)))
+
+
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+
+
+def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = T.tokens(F.col("text"), "uniseg")
+    return _docs(spark, sf_dir).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(tokens, T.SEPARATOR).alias("tokens"))
+
+
+def tokenize_uniseg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.uniseg_tokens(_docs(spark, sf_dir)).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", T.SEPARATOR).alias("tokens"))
+
+
+def tokenize_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = T.tokens(F.col("text"), "bytes")
+    return _docs(spark, sf_dir).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens, ",")).alias("tokens"))
+
+
+def tokenize_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.bpe_tokens(_docs(spark, sf_dir), TOKENIZERS).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("tokens"))
+
+
+def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.shingles(T.tokens(F.col("text"), "uniseg"), FUZZY.ngram_size)
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", found.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_shingles"), F.md5(F.array_join("s", "\x1e")).alias("digest"))
+
+
+def minhash_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_vectors(_docs(spark, sf_dir), FUZZY).select("doc_id", F.array_join(F.transform("h", lambda h: h.cast("string")), ",").alias("h"))
+
+
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.band_signatures(minhash.minhash_vectors(_docs(spark, sf_dir), FUZZY), FUZZY)
+
+
+def band_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signatures(spark, sf_dir).select("doc_id", F.col("band").cast("long").alias("band"), "sig")
+
+
+def lsh_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.star_edges(_signatures(spark, sf_dir))
+
+
+def minhash_exact_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fuzzy_components(_docs(spark, sf_dir), MinHashConfig(mode="exact"))
+
+
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fuzzy_components(_docs(spark, sf_dir), FUZZY)
+
+
+def kill_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply.kill_list(connected_components(spark, sf_dir))
+
+
+def fuzzy_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply.prune(_docs(spark, sf_dir), connected_components(spark, sf_dir))
+
+
+def fuzzy_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply.annotate(_docs(spark, sf_dir), connected_components(spark, sf_dir)).select("doc_id", "minhash.*")
+
+
+def fuzzy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.metrics(fuzzy_annotate(spark, sf_dir))
+
+
+def true_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply.true_jaccard(_docs(spark, sf_dir), Scratch(spark).write(connected_components(spark, sf_dir), "components"), FUZZY)
+
+
+def dup_aware_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    annotated = exact.exact_annotate(_docs(spark, sf_dir))
+    return apply.dup_aware_subsample(annotated, "exact_dedup", RATE, MAX_SIZE, SEED).select("doc_id", F.col("exact_dedup.cc_id").alias("cc_id"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("path_id", F.pmod("conv_id", F.lit(FILES)))
+    order = Window.partitionBy("path_id").orderBy("conv_id", "turn", "role", "text")
+    return rows.withColumn("line_num", (F.row_number().over(order) - 1).cast("long"))
+
+
+def concat_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply.concat_groups(_turns(spark, sf_dir), [F.col("conv_id")])
+
+
+def concat_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one role whose text an earlier run has are killed; so are all later rows of their conversations."""
+    rows = _turns(spark, sf_dir)
+    runs = apply.concat_groups(rows, [F.col("role")])
+    named = runs.withColumn("doc_id", files.pack(F.col("path_id"), F.col("group_line")))
+    path, line = files.unpack(F.col("doc_id"))
+    killed = exact.text_groups(named).where("cc_idx > 0").select(path.alias("path_id"), line.alias("line_num"))
+    return apply.concat_prune(rows, killed, [F.col("conv_id")]).select("path_id", "line_num", "conv_id", "turn")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        scan_documents, path_chunk, path_line_counts, docid_pack, exact_annotate, exact_groups, exact_prune, cc_size_index, cc_size_histogram, dedup_metrics,
+        clean_text, tokenize_words, tokenize_uniseg, tokenize_bytes, tokenize_bpe, shingles, minhash_vector, band_signatures, lsh_groups, minhash_exact_mode,
+        connected_components, kill_list, fuzzy_prune, fuzzy_annotate, fuzzy_metrics, true_jaccard, dup_aware_subsample, concat_group, concat_prune,
+    )
+}
+ORACLES: dict[str, str] = oracles.build(FUZZY, CHUNKS, RATE, MAX_SIZE, SEED, FILES)
