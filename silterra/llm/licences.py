@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silterra.llm.textbytes import U64, text_chunks, words
+from silterra.llm.textbytes import U64, WORDS_SQL, text_chunks, words
 from silterra.session import Scratch, prepare
 
 THRESHOLD = 0.6
@@ -158,9 +158,10 @@ class Matcher:
             cos = score[np.arange(len(runs)), top]
             number_of = np.bincount(r, minlength=len(runs))
             of_text = np.bincount(owner[line], minlength=m)
-            for j in np.lexsort((np.arange(len(runs)), cos)):  # the last is the best, of equal ones the later run
+            found = np.flatnonzero(cos >= THRESHOLD)
+            for j in found[np.lexsort((found, cos[found]))]:  # the last is the best, of equal ones the later run
                 x = i + holder[j]
-                if cos[j] >= max(THRESHOLD, cosine[x]):
+                if cos[j] >= cosine[x]:
                     template[x], cosine[x], share[x] = top[j], cos[j], number_of[j] / of_text[holder[j]]
         return template, cosine, share
 
@@ -216,3 +217,28 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None) -> Dat
 
 def _directory(path: Column) -> Column:
     return F.regexp_replace(path, "(^|/)[^/]*$", "")
+
+
+def oracle() -> str:
+    """DuckDB SQL of ``scan`` over documents with paths of source and id."""
+    listed = ", ".join(f"({k}, '{n}', '" + t.replace("'", "''") + "')" for k, (n, t) in enumerate((n, t) for n, ts in sorted(TEMPLATES.items()) for t in ts))
+    return f"""
+WITH templates(k, license, text) AS (VALUES {listed}),
+tw AS (SELECT k, term, count(*) AS c FROM (SELECT k, unnest({WORDS_SQL}) AS term FROM templates) GROUP BY k, term),
+lines AS (SELECT doc_id, line_no, {WORDS_SQL} AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL)),
+lw AS (SELECT doc_id, line_no, term, count(*) AS c FROM (SELECT doc_id, line_no, unnest(ws) AS term FROM lines) GROUP BY doc_id, line_no, term),
+idf AS (SELECT term, ln(((SELECT count(*) FROM lines) + 2) / (count(lw.term) + 1)) AS w FROM (SELECT DISTINCT term FROM tw) t LEFT JOIN lw USING (term) GROUP BY term),
+weighed AS (SELECT lw.*, coalesce(w, (SELECT max(w) FROM idf)) AS w, w IS NOT NULL AS known FROM lw LEFT JOIN idf USING (term)),
+marked AS (SELECT doc_id, line_no, sum(c) AS n, coalesce(sum(c * w) FILTER (known), 0) >= 0.5 * sum(c * w) AS alike FROM weighed GROUP BY doc_id, line_no),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (SELECT *, CASE WHEN alike IS DISTINCT FROM lag(alike) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 1 ELSE 0 END AS new FROM marked)),
+runs AS (SELECT doc_id, run, term, sum(c) * any_value(w) AS v FROM weighed JOIN (SELECT * FROM numbered WHERE alike) USING (doc_id, line_no) GROUP BY doc_id, run, term),
+norms AS (SELECT doc_id, run, sqrt(sum(v * v)) AS norm FROM runs GROUP BY doc_id, run),
+units AS (SELECT k, term, c * w / sqrt(sum(c * w * c * w) OVER (PARTITION BY k)) AS u FROM tw JOIN idf USING (term)),
+scores AS (SELECT doc_id, run, k, round(sum(v * u) / any_value(norm), 9) AS cosine FROM runs JOIN units USING (term) JOIN norms USING (doc_id, run) GROUP BY doc_id, run, k),
+best AS (SELECT doc_id, run, k, cosine FROM scores WHERE cosine >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, run DESC, k) = 1),
+sizes AS (SELECT doc_id, run, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY doc_id) AS whole FROM numbered GROUP BY doc_id, run),
+own AS (SELECT doc_id, license, cosine, n / whole >= {WHOLE} AS is_file FROM best JOIN sizes USING (doc_id, run) JOIN templates USING (k)),
+holders AS (SELECT source, license, cosine FROM own JOIN documents USING (doc_id) WHERE is_file QUALIFY row_number() OVER (PARTITION BY source ORDER BY cosine DESC, license) = 1)
+SELECT doc_id, license, round(cosine, 6) AS cosine, CASE WHEN is_file THEN 'file' ELSE 'header' END AS how FROM own
+UNION ALL SELECT doc_id, license, round(cosine, 6), 'inherited' FROM documents JOIN holders USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM own)
+"""

@@ -83,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_wumanber": wumanber.ORACLE,
+    "op5_suffixdedup": suffixdedup.ORACLE,
     "op7_covertree": covertree.ORACLE,
     "op8_chattemplate": chattemplate.ORACLE,
+    "op9_licences": licences.oracle(),
 }

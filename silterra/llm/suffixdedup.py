@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silterra.llm.textbytes import U64, mix, text_chunks, words
+from silterra.llm.textbytes import U64, WORDS_SQL, mix, text_chunks, words
 from silterra.session import Scratch, prepare
 
 LENGTH = 50
@@ -233,3 +233,14 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, docs.schema)
+
+
+ORACLE = f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT doc_id, p, md5(array_to_string(ws[p + 1:p + {LENGTH}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {LENGTH - 1})) AS p FROM w WHERE len(ws) >= {LENGTH})),
+rep AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS cut FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1),
+marked AS (SELECT doc_id, p, kind, CASE WHEN p > lag(p) OVER (PARTITION BY kind, doc_id ORDER BY p) + {LENGTH} THEN 1 ELSE 0 END AS new FROM (SELECT doc_id, p, 0 AS kind FROM rep UNION ALL SELECT doc_id, p, 1 FROM rep WHERE cut)),
+runs AS (SELECT kind, doc_id, min(p) AS a, max(p) + {LENGTH} AS z FROM (SELECT *, sum(new) OVER (PARTITION BY kind, doc_id ORDER BY p) AS g FROM marked) GROUP BY kind, doc_id, g)
+SELECT s.doc_id, s.a AS start_word, s.z AS end_word, coalesce(sum(c.z - c.a), 0)::BIGINT AS cut_words
+FROM runs s LEFT JOIN runs c ON c.kind = 1 AND c.doc_id = s.doc_id AND c.a >= s.a AND c.z <= s.z WHERE s.kind = 0 GROUP BY s.doc_id, s.a, s.z
+"""

@@ -23,6 +23,11 @@ for _b in range(256):
         FOLD[_b] = ord(chr(_b).lower()) if _b < 0x80 else _b
 
 
+#: The same words in DuckDB, of a column ``text``.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+WORDS_SQL = f"regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[\\x{{3000}}-\\x{{10FFFF}}][0-9a-z\\x{{80}}-\\x{{2FFF}}]*|[0-9a-z\\x{{80}}-\\x{{2FFF}}]+')"
+
+
 def fold(buf: np.ndarray) -> np.ndarray:
     """Each byte of a word in lower case, 0 for all others."""
     c = FOLD[buf]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silterra.llm.textbytes import fold, text_chunks, words
+from silterra.llm.textbytes import WORDS_SQL, fold, text_chunks, words
 from silterra.session import prepare
 
 WINDOW = 13
@@ -193,14 +193,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = P
     return docs
 
 
-ORACLE = """
+ORACLE = f"""
 WITH w AS (
-  SELECT 1 AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ'), '[\\x{3000}-\\x{10FFFF}][0-9a-z\\x{80}-\\x{2FFF}]*|[0-9a-z\\x{80}-\\x{2FFF}]+') AS ws FROM documents WHERE text IS NOT NULL
-  UNION ALL
-  SELECT 2, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ'), '[\\x{3000}-\\x{10FFFF}][0-9a-z\\x{80}-\\x{2FFF}]*|[0-9a-z\\x{80}-\\x{2FFF}]+') FROM benchmark WHERE text IS NOT NULL
+  SELECT 1 AS kind, doc_id AS id, {WORDS_SQL} AS ws FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 2, item_id, {WORDS_SQL} FROM benchmark WHERE text IS NOT NULL
 ), tests AS (
-  SELECT DISTINCT id AS item_id, least(13, len(ws)) AS n, array_to_string(ws[k:k + 12], ' ') AS s
-  FROM (SELECT id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS k FROM w WHERE kind = 2 AND len(ws) >= 8)
+  SELECT DISTINCT id AS item_id, least({WINDOW}, len(ws)) AS n, array_to_string(ws[k:k + {WINDOW - 1}], ' ') AS s
+  FROM (SELECT id, ws, unnest(range(1, greatest(1, len(ws) - {WINDOW - 1}) + 1)) AS k FROM w WHERE kind = 2 AND len(ws) >= {LEAST})
 ), sizes AS (SELECT DISTINCT n FROM tests),
 places AS (
   SELECT id AS doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS s
