@@ -209,7 +209,10 @@ def cut_text(raw: bytes, cuts: list[list[int]]) -> str:
 def drop_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with later occurrences of repeated passages cut from ``text``; same columns."""
     gone = repeated(docs, length).where("size(cuts) > 0").select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
-    joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left").select(*[docs[c] for c in docs.columns], "__cuts")
+    free = "__cuts"
+    while free in docs.columns:
+        free += "_"
+    joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left").select(*[docs[c] for c in docs.columns], gone["__cuts"].alias(free))
     where, names = docs.columns.index("text"), docs.columns
     count = names.index("n_chars") if "n_chars" in names and docs.schema["n_chars"].dataType.typeName() in ("long", "integer") else None
 
