@@ -53,7 +53,7 @@ components AS (SELECT doc_id, min(r) AS cc_id FROM reach GROUP BY doc_id)"""
         "clean_text": f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents",
         "tokenize_words": words,
         "tokenize_uniseg": words,
-        "tokenize_bytes": f"SELECT doc_id, octet_length(encode(c)) AS n_tokens, md5(array_to_string(list_transform(range(0, octet_length(encode(c))), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT::VARCHAR), ',')) AS tokens FROM (SELECT doc_id, {_CLEAN} AS c, hex(encode({_CLEAN})) AS h FROM documents)",
+        "tokenize_bytes": f"SELECT doc_id, octet_length(encode(c)) AS n_tokens, md5(array_to_string(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT::VARCHAR), ',')) AS tokens FROM (SELECT doc_id, {_CLEAN} AS c, hex(encode({_CLEAN})) AS h FROM documents)",
         "shingles": f"{grams}, kept AS (SELECT doc_id, s, min(i) AS i FROM (SELECT doc_id, unnest(g) AS s, unnest(range(len(g))) AS i FROM grams) GROUP BY doc_id, s) SELECT doc_id, count(*) AS n_shingles, md5(string_agg(s, chr(30) ORDER BY i)) AS digest FROM kept GROUP BY doc_id",
         "minhash_vector": f"{vectors} SELECT doc_id, concat_ws(',', {', '.join(f'h{i}' for i in range(len(ab)))}) AS h FROM vectors",
         "band_signatures": f"{sigs} SELECT * FROM sigs",
