@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silterra.llm.textbytes import U64, characters, text_chunks
+from silterra.llm.textbytes import CHUNK, U64, characters, text_chunks
 from silterra.session import prepare
 
 SIZES = (3, 4, 5)
@@ -39,6 +39,16 @@ class ToxicityModel:
     bias: float = 0.0
     threshold: float = float("inf")
 
+    def __getstate__(self) -> tuple:
+        """Only the weights that aren't 0 are sent to the workers."""
+        ids = np.flatnonzero(self.weights)
+        return len(self.weights), ids.astype(np.int32), self.weights[ids], self.bias, self.threshold
+
+    def __setstate__(self, state: tuple) -> None:
+        n, ids, values, self.bias, self.threshold = state
+        self.weights = np.zeros(n, np.float32)
+        self.weights[ids] = values
+
 
 def grams(c: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each size, where its n-grams start and their hashed numbers; none reaches past its text's end."""
@@ -67,10 +77,10 @@ def segments(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(starts, at)
 
 
-def worst(column: pa.Array, model: ToxicityModel) -> np.ndarray:
+def worst(column: pa.Array, model: ToxicityModel, piece: int = CHUNK) -> np.ndarray:
     """The score of each text's worst segment."""
     out = np.zeros(len(column))
-    for i, n, buf, offsets in text_chunks(column):
+    for i, n, buf, offsets in text_chunks(column, piece):
         c, at = characters(buf, offsets)
         w = np.zeros(len(c) + 1)
         for where, ids in grams(c, at[1:]):
@@ -83,7 +93,7 @@ def worst(column: pa.Array, model: ToxicityModel) -> np.ndarray:
 
 def _rows(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
     """``(first text, ids by size, segment of each, text of each segment)`` of each chunk."""
-    for i, n, buf, offsets in text_chunks(texts):
+    for i, n, buf, offsets in text_chunks(texts, CHUNK // 8):  # small pieces, as this is the driver's work
         c, at = characters(buf, offsets)
         starts, first = segments(c, at)
         found = grams(c, at[1:])
@@ -92,14 +102,38 @@ def _rows(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray], np.ndarray,
         yield i, ids, seg, np.repeat(np.arange(n), np.diff(first))
 
 
-def _logistic(seg: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, steps: int = 80) -> tuple[np.ndarray, float]:
+class _Features:
+    """Feature values of segments, in order of segments; sums over them are made in blocks, as they are the driver's largest arrays."""
+
+    def __init__(self, seg: np.ndarray, feature: np.ndarray, value: np.ndarray, segments_: int, features: int):
+        self.seg, self.feature, self.value, self.shape = seg, feature, value, (segments_, features)
+
+    def scores(self, beta: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[0])
+        for i in range(0, len(self.seg), CHUNK):
+            k = slice(i, i + CHUNK)
+            first = int(self.seg[i])
+            part = np.bincount(self.seg[k] - first, beta[self.feature[k]] * self.value[k])
+            out[first : first + len(part)] += part
+        return out
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[1])
+        for i in range(0, len(self.seg), CHUNK):
+            k = slice(i, i + CHUNK)
+            out += np.bincount(self.feature[k], error[self.seg[k]] * self.value[k], self.shape[1])
+        return out
+
+
+def _logistic(x: _Features, y: np.ndarray, weight: np.ndarray, steps: int = 80) -> tuple[np.ndarray, float]:
     """Weights and bias of a weighted, ridge-penalised logistic regression, by Adam on the whole data."""
+    n = x.shape[1]
     beta, bias, scale = np.zeros(n), 0.0, weight.sum()
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        z = bias + np.bincount(seg, beta[feature] * value, len(y))
+        z = bias + x.scores(beta)
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / scale
-        g = np.append(np.bincount(feature, error[seg] * value, n) + 1e-4 * beta, error.sum())
+        g = np.append(x.gradient(error) + 1e-4 * beta, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         beta, bias = beta - move[:-1], bias - move[-1]
@@ -122,10 +156,13 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
         pairs = np.unique((doc[seg].astype(np.int64) << BITS) | ids)
         owner = label[i + (pairs >> BITS)]
         for k in (0, 1):
-            seen[k] += np.bincount(pairs[owner == k] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
+            some, n = np.unique(pairs[owner == k] & ((1 << BITS) - 1), return_counts=True)
+            seen[k, some] += n.astype(np.int32)
     n1, n0 = label.sum(), (~label).sum()
-    ratio = np.log((seen[1] + 1) / (n1 + 2)) - np.log((seen[0] + 1) / (n0 + 2))
-    used = np.flatnonzero((seen.sum(0) >= 3) & (np.abs(ratio) > 0.5))
+    used = np.flatnonzero(seen[0] + seen[1] >= 3)
+    ratio = np.log((seen[1, used] + 1) / (n1 + 2)) - np.log((seen[0, used] + 1) / (n0 + 2))
+    used, ratio = used[np.abs(ratio) > 0.5], ratio[np.abs(ratio) > 0.5]
+    del seen
     if not len(used):
         return model
     column = np.full(1 << BITS, -1, np.int32)
@@ -134,30 +171,31 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
     for i, ids, seg, doc in _rows(train):
         f = column[ids]
         key = np.unique((seg[f >= 0].astype(np.int64) + base) * len(used) + f[f >= 0])
-        segs.append(key // len(used))
-        cols.append(key % len(used))
+        segs.append((key // len(used)).astype(np.int32))
+        cols.append((key % len(used)).astype(np.int32))
         owners.append(i + doc)
         base += len(doc)
-    seg, col, owner = np.concatenate(segs), np.concatenate(cols), np.concatenate(owners)
-    value = ratio[used][col]
+    owner, col = np.concatenate(owners), np.concatenate(cols)
+    x = _Features(np.concatenate(segs), col, ratio[col].astype(np.float32), base, len(used))
+    del segs, cols, column
     y = label[owner].astype(float)
     for turn in range(3):
         weight = np.where(y > 0, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum()))
         weight[y < 0] = 0
         weight *= 1e3
-        beta, bias = _logistic(seg, col, value, np.maximum(y, 0), weight, len(used))
-        z = bias + np.bincount(seg, beta[col] * value, len(owner))
+        beta, bias = _logistic(x, np.maximum(y, 0), weight)
+        z = bias + x.scores(beta)
         top = np.full(len(label), -np.inf)
         np.maximum.at(top, owner, z)
         clean = np.sort(z[~label[owner]])
         bar = clean[min(len(clean) - 1, int(0.999 * len(clean)))] if len(clean) else 0.0
         y = np.where(label[owner], np.where((z >= top[owner]) | (z > max(bar, 0)), 1.0, -1.0), 0.0)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = beta * ratio[used]
+    weights[used] = beta * ratio
     model = ToxicityModel(weights, float(bias), 0.0)
     check = texts.filter(pa.array(held)) if held.any() and toxic[held].any() and (~toxic[held]).any() else train
     truth = toxic[held] if check is not train else label
-    model.threshold = _threshold(worst(check, model), truth)
+    model.threshold = _threshold(worst(check, model, CHUNK // 8), truth)
     return model
 
 
