@@ -34,8 +34,8 @@ from silterra.session import prepare
 
 WINDOW = 13
 LEAST = 8
-BLOCK = 4
-SEGMENT = 1024
+BLOCK = 8
+SEGMENT = 256
 PART_BYTES = 4 << 20
 _SPACE = 32
 
@@ -56,6 +56,11 @@ def normalised(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, place, first
 
 
+def _blocks(rows: np.ndarray) -> np.ndarray:
+    """Each row of ``BLOCK`` bytes as one number."""
+    return np.ascontiguousarray(rows).view(np.uint64).ravel()
+
+
 class Automaton:
     """Shift table, buckets and strings; ``items`` of a string are those that contain it."""
 
@@ -79,17 +84,14 @@ class Automaton:
         heads = np.frombuffer(b"".join(s[:m] for s in self.strings), np.uint8).reshape(-1, m)
         self.shift = np.full(1 << self.bits, m - BLOCK + 1, np.int32)
         for j in range(BLOCK - 1, m):
-            np.minimum.at(self.shift, self._hash([heads[:, j - k] for k in range(BLOCK)]), m - 1 - j)
-        last = self._hash([heads[:, m - 1 - k] for k in range(BLOCK)])
+            np.minimum.at(self.shift, self._hash(_blocks(heads[:, j - BLOCK + 1 : j + 1])), m - 1 - j)
+        last = self._hash(_blocks(heads[:, m - BLOCK : m]))
         self.bucket = np.argsort(last, kind="stable")
         self.suffix = last[self.bucket]
-        self.head = np.ascontiguousarray(heads[:, :8]).view(np.uint64).ravel()
+        self.head = _blocks(heads[:, :BLOCK])
 
-    def _hash(self, back: list[np.ndarray]) -> np.ndarray:
-        h = np.zeros(len(back[0]), np.uint32)
-        for k, b in enumerate(back):
-            h |= b.astype(np.uint32) << np.uint32(8 * k)
-        return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)
+    def _hash(self, block: np.ndarray) -> np.ndarray:
+        return (block * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
     def find(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(string, place)`` of every occurrence in buf."""
@@ -100,8 +102,9 @@ class Automaton:
         high = np.minimum(low + SEGMENT, len(buf))
         hits = []
         at = low
+        blocks = np.ndarray((len(buf) - BLOCK + 1,), np.uint64, buf, strides=(1,))  # the block that begins at each byte
         while len(at):
-            h = self._hash([buf[at - k] for k in range(BLOCK)])
+            h = self._hash(blocks[at - (BLOCK - 1)])
             step = self.shift[h]
             zero = step == 0
             if zero.any():
@@ -116,10 +119,7 @@ class Automaton:
         n = z - a
         string = self.bucket[np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)]
         place = np.repeat(end - m + 1, n)
-        begins = np.zeros(len(place), np.uint64)
-        for k in range(8):
-            begins |= buf[place + k].astype(np.uint64) << np.uint64(8 * k)
-        same = np.flatnonzero(begins == self.head[string])
+        same = np.flatnonzero(blocks[place] == self.head[string])
         raw = memoryview(buf)
         good = [i for i in same if raw[place[i] : place[i] + len(self.strings[string[i]])] == self.strings[string[i]]]
         return string[good], place[good]
