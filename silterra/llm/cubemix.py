@@ -202,6 +202,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, budget: float
 
 
 def draw(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that ``mix_sources`` draws, with all their columns."""
-    drawn = Scratch(prepare(docs.sparkSession)).write(mix_sources(docs, **options).select(F.col("doc_id").alias("__drawn")), "drawn")
+    """The rows of docs that ``mix_sources`` draws, with all their columns.
+
+    The ids are shuffled to the documents at every size, as they grow with them; only ids are held in hash tables, and no text is sorted.
+    """
+    drawn = Scratch(prepare(docs.sparkSession)).write(mix_sources(docs, **options).select(F.col("doc_id").alias("__drawn")), "drawn").hint("shuffle_hash")
     return docs.join(drawn, docs["doc_id"] == drawn["__drawn"], "left_semi")

@@ -168,6 +168,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without those of a group that aren't its smallest id's, with all their columns."""
-    gone = near_duplicates(docs, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
+    """The rows of docs without those of a group that aren't its smallest id's, with all their columns.
+
+    The ids are shuffled to the documents at every size, as they grow with them; only ids are held in hash tables, and no text is sorted.
+    """
+    gone = near_duplicates(docs, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).hint("shuffle_hash")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
