@@ -6,6 +6,10 @@ Runs of licence-like lines are headers, each compared with every template by the
 doesn't have count in the run's length, so a common word or two don't make a header. A text has the licence of its most similar header if
 the cosine is at least ``THRESHOLD``. A text whose words are mostly (``WHOLE``) in that header is a licence file and holds for its directory.
 
+Licences have their whole texts as well (``licence_texts``, one for each version), with terms and weights of their own. A text whose words
+altogether have a cosine of ``WHOLE`` or more to one, and are its words in that share, is that licence's file, whatever its lines are like. A header as similar as that, if
+more than to any notice, has that licence, so a whole licence text above other text isn't named by a notice of another version.
+
 A text without a header inherits the licence of the licence file in the nearest directory above it: paths are joined with licence
 files by each of their directories, and the longest one wins. Of several licence files in one directory that with the most similar
 header counts, then the smaller license name.
@@ -18,6 +22,7 @@ A text without any licence, its own or inherited, has no row. Other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +64,12 @@ TEMPLATES: dict[str, list[str]] = {
 _NEWLINE = 10
 
 
+def licence_texts() -> dict[str, list[str]]:
+    """The whole texts of licences, by name."""
+    files = resources.files("silterra.llm").joinpath("licence_texts").iterdir()
+    return {f.name.removesuffix(".txt"): [f.read_text(encoding="utf-8")] for f in files if f.name.endswith(".txt")}
+
+
 def _lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(word hash, line of each word, text of each line, first line of each text)``; lines are numbered through all texts."""
     start, _, h, _ = words(buf, offsets)
@@ -114,7 +125,37 @@ class Matcher:
             total += len(owner)
         return out, total
 
-    def best(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cosines(self, r: np.ndarray, h: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+        """The cosine to each template of each of n runs of words; r is the run of each word, t its term."""
+        key = np.where(t >= 0, t.astype(U64), h | U64(1 << 63))
+        order = np.lexsort((key, r))
+        a, k = r[order], key[order]
+        fresh = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1]))[: len(a)])
+        count = np.diff(np.append(fresh, len(a)))
+        a, k = a[fresh], k[fresh]
+        is_term = k < U64(len(self.terms))
+        value = count * np.where(is_term, self.idf[np.where(is_term, k, U64(0)).astype(np.int64)], self.other)
+        norm = np.sqrt(np.bincount(a, value * value, n))
+        score = np.zeros((n, len(self.names)))
+        ta, tk, tv = a[is_term], k[is_term].astype(np.int64), value[is_term]
+        for c in range(len(self.names)):
+            score[:, c] = np.bincount(ta, tv * self.unit[c, tk], n)
+        return np.round(score / np.maximum(norm, 1e-300)[:, None], 9)
+
+    def whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(template, cosine, share of words)`` of each text's most similar template by all of its words; the share is of those the template has."""
+        template, cosine, share = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column))
+        for i, m, buf, offsets in text_chunks(column):
+            _, _, h, first = words(buf, offsets)
+            text, t = np.repeat(np.arange(m), np.diff(first)), self.term(h)
+            score = self.cosines(text, h, t, m)
+            top = score.argmax(1)
+            template[i : i + m], cosine[i : i + m] = top, score.max(1)
+            has = (t >= 0) & (self.counts[top[text], t] > 0)
+            share[i : i + m] = np.bincount(text[has], minlength=m) / np.maximum(np.diff(first), 1)
+        return template, cosine, share
+
+    def best(self, column: pa.Array, least: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(template, cosine, share of words)`` of each text's most similar header; template -1 where there is none."""
         n = len(column)
         template, cosine, share = np.full(n, -1), np.zeros(n), np.zeros(n)
@@ -139,26 +180,12 @@ class Matcher:
             runs, r = np.unique(where[inside], return_inverse=True)
             holder = np.zeros(len(runs), np.int64)
             holder[r] = owner[line[inside]]
-            # Term counts of each run, and the other words' by their hashes.
-            key = np.where(t[inside] >= 0, t[inside].astype(U64), h[inside] | U64(1 << 63))
-            order = np.lexsort((key, r))
-            a, k = r[order], key[order]
-            fresh = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])))
-            count = np.diff(np.append(fresh, len(a)))
-            a, k = a[fresh], k[fresh]
-            is_term = k < U64(len(self.terms))
-            value = count * np.where(is_term, self.idf[np.where(is_term, k, U64(0)).astype(np.int64)], self.other)
-            norm = np.sqrt(np.bincount(a, value * value, len(runs)))
-            score = np.zeros((len(runs), len(self.names)))
-            ta, tk, tv = a[is_term], k[is_term].astype(np.int64), value[is_term]
-            for c in range(len(self.names)):
-                score[:, c] = np.bincount(ta, tv * self.unit[c, tk], len(runs))
-            score = np.round(score / np.maximum(norm, 1e-300)[:, None], 9)
+            score = self.cosines(r, h[inside], t[inside], len(runs))
             top = score.argmax(1)
             cos = score[np.arange(len(runs)), top]
             number_of = np.bincount(r, minlength=len(runs))
             of_text = np.bincount(owner[line], minlength=m)
-            found = np.flatnonzero(cos >= THRESHOLD)
+            found = np.flatnonzero(cos >= least)
             for j in found[np.lexsort((found, cos[found]))]:  # the last is the best, of equal ones the later run
                 x = i + holder[j]
                 if cos[j] >= cosine[x]:
@@ -166,6 +193,19 @@ class Matcher:
         return template, cosine, share
 
 
+def judge(notices: Matcher, texts: Matcher, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(license, cosine, share of words)`` of each text by notices and whole licence texts; license None where there is none."""
+    template, cosine, share = notices.best(column)
+    names, whole = (np.array([*m.names, None], object) for m in (notices, texts))
+    license_ = names[template]
+    other, cos, part = texts.best(column, WHOLE)
+    better = (other >= 0) & (cos >= cosine)
+    license_, cosine, share = np.where(better, whole[other], license_), np.where(better, cos, cosine), np.where(better, part, share)
+    other, cos, part = texts.whole(column)
+    file = (cos >= WHOLE) & (part >= WHOLE)
+    return np.where(file, whole[other], license_), np.where(file, cos, cosine), np.where(file, part, share)
+
+
 def learn(texts: DataFrame, matcher: Matcher) -> Matcher:
     """Count the terms over all lines of ``text``."""
     shared = prepare(texts.sparkSession).sparkContext.broadcast(matcher)
@@ -189,14 +229,13 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None) -> Dat
     ``path`` has its directories between slashes; its last part is the name.
     """
     scratch = Scratch(prepare(files.sparkSession))
-    matcher = learn(files, Matcher(templates))
-    shared = files.sparkSession.sparkContext.broadcast(matcher)
+    matchers = learn(files, Matcher(templates)), learn(files, Matcher(licence_texts()))
+    shared = files.sparkSession.sparkContext.broadcast(matchers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            template, cosine, share = shared.value.best(b.column(2))
-            names = np.array([*shared.value.names, None], object)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[template].tolist(), pa.string()), pa.array(np.round(cosine, 6)), pa.array(share)], ["doc_id", "path", "license", "cosine", "share"])
+            license_, cosine, share = judge(*shared.value, b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(license_.tolist(), pa.string()), pa.array(np.round(cosine, 6)), pa.array(share)], ["doc_id", "path", "license", "cosine", "share"])
 
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text").mapInArrow(run, "doc_id long, path string, license string, cosine double, share double")
     rows = scratch.write(rows, "scanned")

@@ -99,3 +99,17 @@ def test_inheritance_and_awkward_rows(spark):
     assert li.scan(files.limit(0)).count() == 0
     root = files.select("doc_id", "path", "text").union(spark.createDataFrame([(99, "LICENSE", mit)], "doc_id long, path string, text string"))
     assert (6, "MIT", "inherited") in [(r.doc_id, r.license, r.how) for r in li.scan(root).collect()]
+
+
+def test_whole_licence_texts_are_files(spark):
+    whole = {n: t[0] for n, t in li.licence_texts().items()}
+    assert {"MIT", "Apache-2.0", "MPL-1.1", "MPL-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause"} <= set(whole)
+    prose = "\n".join(" ".join(f"x{i}{j}" for j in range(9)) for i in range(1500))
+    rows, want = [], {}
+    for k, (name, text) in enumerate(sorted(whole.items())):
+        unwrapped = "Copyright (c) 2019 Jane Doe, John Roe and contributors\n\n" + " ".join(text.split())
+        for j, (path, body, how) in enumerate([("LICENSE", text, "file"), ("one/COPYING", unwrapped, "file"), ("src/a.py", prose, "inherited"), ("src/b.py", text + "\n" + prose, "header")]):
+            rows.append((4 * k + j, f"{name}/{path}", body))
+            want[4 * k + j] = (name, how)
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert {r.doc_id: (r.license, r.how) for r in li.scan(files).collect()} == want
