@@ -7,13 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: A prime below 2**31: a product of two residues fits in a bigint.
 PRIME = (1 << 31) - 1
 SEPARATOR = "\x1f"
 WORD = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]"
+#: Characters of which cleaned text has the same cuts by ``WORD`` and by UAX 29: Latin, Greek and Cyrillic letters, ASCII digits, spaces, and
+#: signs that stand alone by both. Texts with any other (unspaced scripts, marks, quotes within words, emoji) are cut by UAX 29 itself.
+PLAIN = r"\u0020-\u0021\u0023-\u0026\u0028-\u002b\u002d\u002f-\u0039\u003c-\u005e\u0060-\u007e\u00a1-\u00ac\u00ae-\u00b1\u00b4-\u00b6\u00ba-\u00bb\u00bf-\u024f\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03ce\u0400-\u045f\u0490-\u04e9\u2010-\u2017\u201a-\u2023\u2025-\u2026\u2030-\u203e\u2041-\u2043\u2045-\u2053\u2055-\u205e\u20a0-\u20bf\u2190-\u21ff"
 
 
 def clean(text: Column) -> Column:
@@ -23,10 +28,28 @@ def clean(text: Column) -> Column:
 
 
 def words(cleaned: Column) -> Column:
-    """Runs of letters, digits and marks, and each other character by itself, spaces included."""
+    """Runs of letters, digits and marks, and each other character by itself, spaces included: Unicode's words if all characters are ``PLAIN``."""
     return F.regexp_extract_all(cleaned, F.lit(WORD), F.lit(0))
 
 
+def boundary_cut(text: str | None) -> list[str] | None:
+    """The pieces between Unicode's word boundaries (UAX 29)."""
+    import regex
+
+    return None if text is None else [x for x in regex.split(r"(?V1w)\b", text) if x]
+
+
+@F.arrow_udf(returnType=ArrayType(StringType()))
+def _boundary_cuts(text: pa.Array) -> pa.Array:
+    return pa.array([boundary_cut(t) for t in text.to_pylist()], pa.list_(pa.string()))
+
+
+def segments(text: Column) -> Column:
+    """The cleaned text's pieces between Unicode's word boundaries; only texts that ``words`` may cut otherwise leave the JVM."""
+    odd = let(clean(text), lambda c: F.when(F.regexp_like(c, F.lit(f"[^{PLAIN}]")), c))
+    return F.coalesce(_boundary_cuts(odd), words(clean(text)))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value evaluated once: what a lambda captures is evaluated for each element else."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -60,20 +83,16 @@ def fast_hash31(text: Column) -> Column:
 
 
 def tokens(text: Column, tokenizer: str) -> Column:
-    """Tokens of a raw text. ``uniseg`` gives words, any other name but ``bpe`` gives the bytes."""
-    return words(clean(text)) if tokenizer == "uniseg" else F.transform(utf8_bytes(clean(text)), lambda b: b.cast("string"))
+    """Tokens of a raw text. ``uniseg`` gives Unicode's words, any other name but ``bpe`` gives the bytes."""
+    return segments(text) if tokenizer == "uniseg" else F.transform(utf8_bytes(clean(text)), lambda b: b.cast("string"))
 
 
 def uniseg_tokens(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, tokens)`` by Unicode's word boundaries (UAX 29), with scripts that ``words`` cuts otherwise. White space makes tokens too."""
-    import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        bound = regex.compile(r"(?V1w)\b")
         for b in batches:
-            cut = [None if t is None else [x for x in bound.split(t) if x] for t in b.column(1).to_pylist()]
+            cut = [boundary_cut(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.list_(pa.string()))], [key, "tokens"])
 
     kind = df.schema[key].dataType.simpleString()
@@ -85,7 +104,6 @@ def bpe_tokens(df: DataFrame, folder: str, file: str = "byte_bpe_50k.tiktoken",
 
     Strings of special tokens are ordinary text.
     """
-    import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe_encoding(folder, file)

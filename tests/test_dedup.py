@@ -160,3 +160,20 @@ def test_clashing_columns(spark):
     assert exact.exact_prune(docs).count() == 1 and exact.exact_annotate(docs).count() == 2
     components = minhash.fuzzy_components(docs, MinHashConfig())
     assert apply.prune(docs, components).count() == 1 and apply.annotate(docs, components).columns == [*docs.columns, "minhash"]
+
+
+def test_near_copies_in_unspaced_scripts(spark):
+    """Sentences of Han and of kana without spaces, with one character in 100 changed, are near copies."""
+    rng = random.Random(2)
+    rows = []
+    for i, (low, high) in enumerate([(0x4E00, 0x9FA0)] * 10 + [(0x3041, 0x3094)] * 10):
+        text = [chr(rng.randrange(low, high)) for _ in range(300)]
+        other = [*text]
+        for k in (50, 150, 250):
+            other[k] = chr(low)
+        rows += [(2 * i, "".join(text)), (2 * i + 1, "".join(other))]
+    docs = spark.createDataFrame(rows, DOCS)
+    config = MinHashConfig(num_bands=20, band_size=4)
+    assert {r.doc_id: r.cc_id for r in minhash.fuzzy_components(docs, config).collect()} == {i: i - i % 2 for i in range(40)}
+    pairs = apply.true_jaccard(docs, spark.createDataFrame([(i, i - i % 2) for i in range(40)], "doc_id long, cc_id long"), config).collect()
+    assert len(pairs) == 20 and all(0.85 < r.jaccard < 0.95 for r in pairs)

@@ -56,3 +56,20 @@ def test_hashes(spark):
 
     assert one(spark, "x", T.hash31) == int(hashlib.md5(b"x").hexdigest()[:8], 16) % T.PRIME
     assert 0 <= one(spark, "x", T.fast_hash31) < T.PRIME
+
+
+def test_words_are_unicodes_where_the_regex_is_used(spark):
+    import itertools
+    import random
+
+    import regex
+
+    plain = [chr(c) for c in range(0x20, 0x10000) if regex.match(f"[{T.PLAIN}]", chr(c))]
+    rng = random.Random(1)
+    texts = [f"a{c}b {c} 1{c}2 {c}{c}" for c in plain] + ["".join(x) for x in itertools.product("aé1— ж", repeat=5)] + ["".join(rng.choice(plain) for _ in range(400)) for _ in range(300)]
+    texts = [" ".join(t.split()) for t in texts]
+    assert all(regex.findall(T.WORD, t) == T.boundary_cut(t) for t in texts) and len(plain) > 700
+    rows = [(i, t) for i, t in enumerate([*texts, "这是一个测试", "ひらがなカタカナ漢字", "l’été d’or", "e\u0301 \u0301x", "m² ½", "ไทย ลาว", "👩‍👩‍👧 🇩🇪🇫🇷", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = T.uniseg_tokens(docs).withColumnRenamed("tokens", "want").join(docs.select("doc_id", T.tokens(F.col("text"), "uniseg").alias("got")), "doc_id")
+    assert both.where("not (want <=> got)").count() == 0 and both.count() == len(rows)
