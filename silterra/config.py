@@ -9,12 +9,13 @@ from typing import Any
 
 @dataclass(frozen=True)
 class MinHashConfig:
-    """``mode`` is ``fuzzy`` or ``exact``; the latter groups documents by their whole raw text."""
+    """``mode`` is ``fuzzy`` or ``exact``; the latter groups documents by their whole raw text. ``vocabulary`` is the folder of byte-pair vocabularies."""
 
     num_bands: int = 14
     band_size: int = 8
     ngram_size: int = 5
     tokenizer: str = "uniseg"
+    vocabulary: str | None = None
     mode: str = "fuzzy"
     hash_seed: int = 0
     content_key: str = "text"

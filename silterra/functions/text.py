@@ -5,6 +5,8 @@ The expressions are Spark's own and stay in the JVM; each has a DuckDB twin in `
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -82,8 +84,32 @@ def fast_hash31(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(PRIME))
 
 
-def tokens(text: Column, tokenizer: str) -> Column:
-    """Tokens of a raw text. ``uniseg`` gives Unicode's words, any other name but ``bpe`` gives the bytes."""
+#: The vocabulary file of each byte-pair tokenizer, and the pattern it splits text by (None: that of the folder's module).
+BYTE_PAIRS: dict[str, tuple[str, str | None]] = {
+    "bpe": ("byte_bpe_50k.tiktoken", None),
+    "p50k": ("p50k_base.tiktoken", r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""),
+    "cl100k": ("cl100k_base.tiktoken", r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"""),
+}
+
+
+def byte_pairs(text: Column, tokenizer: str, folder: str | None) -> Column:
+    """Byte-pair ids of the cleaned text as strings; an error if the tokenizer's vocabulary isn't in the folder."""
+    file, pattern = BYTE_PAIRS[tokenizer]
+    if folder is None or not os.path.isfile(f"{folder}/{file}"):
+        raise ValueError(f"tokenizer {tokenizer} needs the vocabulary {file}; the folder given by the setting vocabulary ({folder}) hasn't got it")
+
+    @F.arrow_udf(returnType=ArrayType(StringType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        coder = bpe_encoding(folder, file, pattern)
+        return pa.array([None if t is None else [str(x) for x in coder.encode_ordinary(t)] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return ids(clean(text))
+
+
+def tokens(text: Column, tokenizer: str, vocabulary: str | None = None) -> Column:
+    """Tokens of a raw text. ``uniseg`` gives Unicode's words, names in ``BYTE_PAIRS`` byte pairs by the folder ``vocabulary``, any other name the bytes."""
+    if tokenizer in BYTE_PAIRS:
+        return byte_pairs(text, tokenizer, vocabulary)
     return segments(text) if tokenizer == "uniseg" else F.transform(utf8_bytes(clean(text)), lambda b: b.cast("string"))
 
 
@@ -115,16 +141,19 @@ def bpe_tokens(df: DataFrame, folder: str, file: str = "byte_bpe_50k.tiktoken",
     return df.select(key, clean(F.col(column)).alias("t")).mapInArrow(run, f"`{key}` {kind}, tokens array<int>")
 
 
-def bpe_encoding(folder: str, file: str):
+@functools.cache
+def bpe_encoding(folder: str, file: str, pattern: str | None = None):
     import base64
     import sys
 
     import tiktoken
 
-    if folder not in sys.path:
-        sys.path.append(folder)
-    import public_tokenizers
+    if pattern is None:
+        if folder not in sys.path:
+            sys.path.append(folder)
+        import public_tokenizers
 
+        pattern = public_tokenizers.PATTERN
     with open(f"{folder}/{file}", "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(file, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

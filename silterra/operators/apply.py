@@ -34,7 +34,7 @@ def annotate(docs: DataFrame, components: DataFrame, name: str = "minhash") -> D
 
 def true_jaccard(docs: DataFrame, components: DataFrame, config: MinHashConfig) -> DataFrame:
     """``(cc_id, doc_a, doc_b, n_inter, n_union, jaccard)`` of every pair within a component, over distinct shingles."""
-    sets = F.transform(T.shingles(T.tokens(F.col(config.content_key), config.tokenizer), config.ngram_size), lambda s: F.xxhash64(s))
+    sets = F.transform(T.shingles(T.tokens(F.col(config.content_key), config.tokenizer, config.vocabulary), config.ngram_size), lambda s: F.xxhash64(s))
     members = components.join(docs.where(F.col(config.content_key).isNotNull()).select("doc_id", F.col(config.content_key)), "doc_id").select("cc_id", "doc_id", F.array_sort(sets).alias("s"))
     a, b = members.alias("a"), members.alias("b")
     pairs = a.join(b, (F.col("a.cc_id") == F.col("b.cc_id")) & (F.col("a.doc_id") < F.col("b.doc_id")))

@@ -28,7 +28,7 @@ def permutations(config: MinHashConfig) -> list[tuple[int, int]]:
 def residues(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     """``(doc_id, x)``: a hash of each distinct shingle. A document without text (null) has no row."""
     one = T.hash31 if config.portable else T.fast_hash31
-    found = T.shingles(T.tokens(F.col(config.content_key), config.tokenizer), config.ngram_size, distinct=config.portable)
+    found = T.shingles(T.tokens(F.col(config.content_key), config.tokenizer, config.vocabulary), config.ngram_size, distinct=config.portable)
     return docs.where(F.col(config.content_key).isNotNull()).select("doc_id", F.transform(found, one).alias("x"))
 
 

@@ -177,3 +177,19 @@ def test_near_copies_in_unspaced_scripts(spark):
     assert {r.doc_id: r.cc_id for r in minhash.fuzzy_components(docs, config).collect()} == {i: i - i % 2 for i in range(40)}
     pairs = apply.true_jaccard(docs, spark.createDataFrame([(i, i - i % 2) for i in range(40)], "doc_id long, cc_id long"), config).collect()
     assert len(pairs) == 20 and all(0.85 < r.jaccard < 0.95 for r in pairs)
+
+
+def test_byte_pair_settings(spark):
+    config = minhash_config({"tokenizer_str": "bpe", "vocabulary": "/opt/tokenizers", "exact_override": True, "ngram_size": 2})
+    texts = ["The quiet river runs under a bridge", "The quiet river runs under a tower", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    coder = T.bpe_encoding("/opt/tokenizers", "byte_bpe_50k.tiktoken")
+    ids = [[str(x) for x in coder.encode_ordinary(t.lower())] for t in texts[:3]]
+    grams = [{T.SEPARATOR.join(t[i : i + 2]) for i in range(max(1, len(t) - 1))} for t in ids]
+    want = {i: {int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % T.PRIME for g in s} for i, s in enumerate(grams)}
+    assert {r.doc_id: set(r.x) for r in minhash.residues(docs, config).collect()} == want
+    pair = apply.true_jaccard(docs, spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, cc_id long"), config).first()
+    assert (pair.n_inter, pair.n_union) == (len(grams[0] & grams[1]), len(grams[0] | grams[1]))
+    for missing in ({"tokenizer_str": "bpe"}, {"tokenizer_str": "p50k", "vocabulary": "/opt/tokenizers"}, {"tokenizer_str": "cl100k"}):
+        with pytest.raises(ValueError, match="vocabulary"):
+            minhash.residues(docs, minhash_config(missing | {"exact_override": True}))
