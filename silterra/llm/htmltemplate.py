@@ -2,7 +2,9 @@
 
 A page is a sequence of tokens: tags with their class and id, the words of text nodes of up to ``SHORT`` words (labels, prices), and
 longer text nodes as one token each (notices). A token's occurrence vector tells how often each page of the host has it. Tokens that share
-a vector are one equivalence class; those of two tokens or more that lie on enough pages are likely the template's.
+a vector are one equivalence class; those of two tokens or more that lie on enough pages are likely the template's. Enough are ``PAGES``, however
+many pages the host has, for a class with a tag in it, so each page type of a large host keeps its own layout; a class of words alone is
+a name or phrase of the content as well, and needs a share of ``SUPPORT`` of the host's pages besides.
 Vectors aren't gathered: a token's page numbers and counts are summed as two 31-bit hashes, so equal sums are equal vectors and
 each page's part is added where it is read.
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from silterra.session import Scratch, prepare
 
 PAGES = 4
-#: A template's tokens are on this share of the host's pages at least.
+#: Classes of words without a tag are on this share of the host's pages at least.
 SUPPORT = 0.2
 SHORT = 8
 TOLERANCE = 0.1
@@ -74,20 +76,22 @@ def key(token: str) -> int:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(host, token, pages, once, a, b, place)`` sums, by as many pages as fit; token null counts the host's pages."""
+    """``(host, token, pages, once, a, b, place, tag)`` sums, by as many pages as fit; token null counts the host's pages, tag those where it is one."""
     found: dict[tuple[str, int | None], list[float]] = {}
 
     def flush() -> pa.RecordBatch:
         keys, values = list(found), list(found.values())
         found.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[j] for v in values], pa.int64()) for j in range(4)], pa.array([v[4] for v in values], pa.float64())],
-            ["host", "token", "pages", "once", "a", "b", "place"],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[j] for v in values], pa.int64()) for j in range(4)], pa.array([v[4] for v in values], pa.float64()), pa.array([v[5] for v in values], pa.int64())],
+            ["host", "token", "pages", "once", "a", "b", "place", "tag"],
         )
 
     for batch in batches:
         for host, ident, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            sequence = [key(t) for t, _ in tokens(page or "")]
+            parsed = tokens(page or "")
+            sequence = [key(t) for t, _ in parsed]
+            tags = {k for k, (_, text) in zip(sequence, parsed, strict=True) if text is None}
             name = xxhash.xxh64_intdigest(f"{ident} {xxhash.xxh64_intdigest(page or '')}")
             place: dict[int, int] = {}
             for i, t in enumerate(sequence):
@@ -99,13 +103,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h = parts[n] = xxhash.xxh64_intdigest(f"{name} {n}")
                 v = found.get((host, t))
                 if v is None:
-                    v = found[host, t] = [0, 0, 0, 0, 0.0]
+                    v = found[host, t] = [0, 0, 0, 0, 0.0, 0]
                 v[0] += 1
                 v[1] += n == 1
                 v[2] += h & _LOW
                 v[3] += (h >> 32) & _LOW
                 v[4] += place[t] / len(sequence)
-            found.setdefault((host, None), [0, 0, 0, 0, 0.0])[0] += 1
+                v[5] += t in tags
+            found.setdefault((host, None), [0, 0, 0, 0, 0.0, 0])[0] += 1
             if len(found) > FLUSH:
                 yield flush()
     yield flush()
@@ -198,13 +203,14 @@ def deduce(pages: DataFrame) -> DataFrame:
     """``(host, token, kind, rank)`` of every template token of ``(host, page_id, html)``; kind 0 is the root, rank its order."""
     scratch = Scratch(prepare(pages.sparkSession))
     known = pages.where("host is not null").select("host", "page_id", "html")
-    counted = known.mapInArrow(_counts, "host string, token long, pages long, once long, a long, b long, place double")
-    counted = scratch.write(counted.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "a", "b", "place")]), "counts")
+    counted = known.mapInArrow(_counts, "host string, token long, pages long, once long, a long, b long, place double, tag long")
+    counted = scratch.write(counted.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "a", "b", "place", "tag")]), "counts")
     hosts = counted.where("token is null").where(F.col("pages") >= PAGES).select("host", F.col("pages").alias("all"))
-    frequent = counted.where("token is not null").join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(PAGES), F.lit(SUPPORT) * F.col("all")))
+    frequent = counted.where("token is not null").join(hosts, "host").where(F.col("pages") >= PAGES)
     frequent = scratch.write(frequent, "frequent")
     vector = ["host", "pages", "a", "b"]
-    classes = frequent.groupBy(*vector).agg(F.count("*").alias("size"), F.min((F.col("once") == F.col("pages")).cast("int")).alias("flat")).where("size >= 2")
+    classes = frequent.groupBy(*vector, "all").agg(F.count("*").alias("size"), F.min((F.col("once") == F.col("pages")).cast("int")).alias("flat"), F.max("tag").alias("tag"))
+    classes = classes.where("size >= 2").where((F.col("tag") > 0) | (F.col("pages") >= SUPPORT * F.col("all")))
     root = classes.where("flat = 1").groupBy("host").agg(F.max_by(F.struct("pages", "a", "b"), F.struct(F.col("size") * F.col("pages"), "a", "b")).alias("r")).select("host", F.col("r.pages").alias("rp"), F.col("r.a").alias("ra"), F.col("r.b").alias("rb"))
     tokens_ = frequent.join(classes.select(*vector), vector).join(root, "host")
     is_root = (F.col("pages") == F.col("rp")) & (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb"))

@@ -106,3 +106,19 @@ def test_awkward_rows(spark):
     assert by[3].text == "no host at all <" and by[4].text == "plain & text"
     assert len(by[5].text.split()) == 60_000 and sum(r.page_id == 7 for r in got) == 5
     assert ht.extract(frame.limit(0)).count() == 0
+
+
+def test_rare_layouts_of_a_large_host_keep_their_template(spark):
+    """One common layout and eight rare ones, each on far less than a fifth of the pages; and authors, who aren't layout."""
+    rng = np.random.default_rng(4)
+    rows, truth = [], {}
+    for kind, n in [(0, 240), *((k, 12) for k in range(1, 9))]:
+        for _ in range(n):
+            i = len(rows)
+            body = " ".join(f"w{x}" for x in rng.integers(0, 10_000, 20))
+            author = f"John{i % 40} Smith{i % 40}"
+            html = f"<html><body><h1>Site</h1><div class=type{kind}><div class=l{kind}>Label{kind}</div>{body}<div class=k{kind}>By{kind}</div></div><div class=a>{author}</div><footer>End</footer></body></html>"
+            rows.append((i, f"https://big.example.com/{i}", html))
+            truth[i] = [body, author]
+    got = ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: [s.text for s in r.slots] for r in got} == truth
