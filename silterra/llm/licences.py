@@ -10,6 +10,9 @@ Licences have their whole texts as well (``licence_texts``, one for each version
 altogether have a cosine of ``WHOLE`` or more to one, and are its words in that share, is that licence's file, whatever its lines are like. A header as similar as that, if
 more than to any notice, has that licence, so a whole licence text above other text isn't named by a notice of another version.
 
+Texts without such a header are searched within their lines: sentences are taken as lines, then single words, so that a header is a run of
+words that are all terms. As ordinary words make such runs too, these need a cosine of ``INSIDE``.
+
 A text without a header inherits the licence of the licence file in the nearest directory above it: paths are joined with licence
 files by each of their directories, and the longest one wins. Of several licence files in one directory that with the most similar
 header counts, then the smaller license name.
@@ -34,6 +37,7 @@ from silterra.session import Scratch, prepare
 
 THRESHOLD = 0.6
 WHOLE = 0.8
+INSIDE = 0.9
 
 #: Notices as they stand in headers, and the first lines of licence files, by SPDX name.
 TEMPLATES: dict[str, list[str]] = {
@@ -62,6 +66,8 @@ TEMPLATES: dict[str, list[str]] = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
 }
 _NEWLINE = 10
+#: Signs that end a sentence before white space or another of them.
+_STOPS = np.frombuffer(b".!?;:|*/()", np.uint8)
 
 
 def licence_texts() -> dict[str, list[str]]:
@@ -70,10 +76,15 @@ def licence_texts() -> dict[str, list[str]]:
     return {f.name.removesuffix(".txt"): [f.read_text(encoding="utf-8")] for f in files if f.name.endswith(".txt")}
 
 
-def _lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(word hash, line of each word, text of each line, first line of each text)``; lines are numbered through all texts."""
-    start, _, h, _ = words(buf, offsets)
-    breaks = np.flatnonzero(buf == _NEWLINE)
+def _lines(buf: np.ndarray, offsets: np.ndarray, cut: str = "lines") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(word hash, line of each word, text of each line, first line of each text)``; lines are numbered through all texts. ``cut`` can be sentences or words instead."""
+    start, _, h, first = words(buf, offsets)
+    if cut == "words":
+        return h, np.arange(len(h)), np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first
+    ends = buf == _NEWLINE
+    if cut == "sentences":
+        ends[:-1] |= np.isin(buf[:-1], _STOPS) & ((buf[1:] <= 32) | np.isin(buf[1:], _STOPS))
+    breaks = np.flatnonzero(ends)
     text_breaks = np.searchsorted(breaks, offsets)
     # A text has one line more than line breaks.
     first = text_breaks + np.arange(len(offsets))
@@ -155,12 +166,12 @@ class Matcher:
             share[i : i + m] = np.bincount(text[has], minlength=m) / np.maximum(np.diff(first), 1)
         return template, cosine, share
 
-    def best(self, column: pa.Array, least: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def best(self, column: pa.Array, least: float = THRESHOLD, cut: str = "lines") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(template, cosine, share of words)`` of each text's most similar header; template -1 where there is none."""
         n = len(column)
         template, cosine, share = np.full(n, -1), np.zeros(n), np.zeros(n)
         for i, m, buf, offsets in text_chunks(column):
-            h, line, owner, _ = _lines(buf, offsets)
+            h, line, owner, _ = _lines(buf, offsets, cut)
             t = self.term(h)
             weight = np.where(t >= 0, self.idf[np.maximum(t, 0)], self.other)
             mass = np.bincount(line, weight, len(owner))
@@ -196,6 +207,12 @@ class Matcher:
 def judge(notices: Matcher, texts: Matcher, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(license, cosine, share of words)`` of each text by notices and whole licence texts; license None where there is none."""
     template, cosine, share = notices.best(column)
+    none = np.flatnonzero(template < 0)
+    for cut in ("sentences", "words"):
+        found = notices.best(column.take(pa.array(none)), INSIDE, cut)
+        better = found[1] > cosine[none]
+        for own, new in zip((template, cosine, share), found, strict=True):
+            own[none[better]] = new[better]
     names, whole = (np.array([*m.names, None], object) for m in (notices, texts))
     license_ = names[template]
     other, cos, part = texts.best(column, WHOLE)

@@ -113,3 +113,16 @@ def test_whole_licence_texts_are_files(spark):
             want[4 * k + j] = (name, how)
     files = spark.createDataFrame(rows, "doc_id long, path string, text string")
     assert {r.doc_id: (r.license, r.how) for r in li.scan(files).collect()} == want
+
+
+def test_notices_inside_long_lines(spark):
+    before, after = "some prose about a garden and a river that runs on every day of the week", "and more prose about winter"
+    notices = [("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("Released under the MIT License", "MIT"), ("This work is licensed under the GNU General Public License, version 3", "GPL-3.0"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0")]
+    rows, want = [], {}
+    for notice, name in notices:
+        for text in (f"{before}. {notice}. A{after[1:]}.", f"{before} {notice} {after.replace('and ', '')}", f"/*! page v3.1 | (c) Jane Doe | {notice} */!function(e,t){{return e.x=t}}(this,9);var winter=1;", f"{before}. " * 50 + notice):
+            want[len(rows)] = (name, "header")
+            rows.append((len(rows), f"a/{len(rows)}", text))
+    rows += [(1000 + i, f"b/{i}", f"{x} {before}") for i, x in enumerate(["the license of the software is under the work of any person,", "the park is licensed under the license of the city,", "under the terms of this file"])]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    assert {r.doc_id: (r.license, r.how) for r in li.scan(files).collect()} == want
