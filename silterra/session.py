@@ -74,6 +74,14 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def append(self, df: DataFrame, name: str) -> None:
+        """Add the rows of df to a table; ``read`` gives it whole."""
+        path = self.paths.setdefault(name, f"{self.root}/{len(self.paths)}-{name}")
+        df.write.mode("append").parquet(path)
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.paths[name])
+
     def drop(self, name: str) -> None:
         _delete(self.spark, self.paths[name])
 
