@@ -1,14 +1,15 @@
-"""Exact top-k neighbours of every vector by a dual-tree search of cover trees.
+"""Exact top-k neighbours of a query set among all vectors by a dual-tree search of cover trees.
 
 Vectors are scaled to length one, so the largest cosine similarity is the smallest distance. Pivots cut the space into cells of about
-``cell_size`` vectors, each with the vectors nearest to its pivot. A cell is a cover tree: the children of a node are chosen by
+``cell_size`` vectors, each with vectors near its pivot. A cell is a cover tree: the children of a node are chosen by
 farthest-first traversal, so they are at least as far apart as the radius within which they cover the node; every node knows its centre
 and the radius that its vectors really need.
 
-Queries are the same trees. A pair of a query node and a data node is dropped when the distance of their centres less both radii is more
-than the worst k-th distance among the node's queries: for cells before they are shipped, with the bounds that each cell found in itself, then
-for nodes, level by level, with the bounds of that moment. Pairs of leaves that remain are compared by matrix products. Query cells are
-searched in groups, so a data cell travels once for each group of up to ``GROUP`` cells that needs it; the nearest cells come first.
+Each cell first searches the queries that lie in it, which gives every query a bound: its k-th distance so far. Then queries are searched in
+blocks of ``BLOCK_BYTES``, each one a cover tree that is broadcast to a scan of all cells: a pair of a query node and a data node is dropped
+when the distance of their centres less both radii is more than the worst k-th distance among the node's queries, level by level, with
+the bounds of that moment. Pairs of leaves that remain are compared by matrix products. A block meets every data cell where that lies, so
+vectors are shuffled twice whatever the number of queries, and a task sends the k best of each query that are within its bound.
 
 On vectors without any structure in many dimensions hardly a pair can be dropped, and an exact search compares all pairs, by any method.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silterra.session import Scratch, prepare
@@ -35,18 +36,33 @@ LEAF = 64
 FAN = 16
 CELL = 4096
 CELL_BYTES = 8 << 20
-GROUP = 32
-#: Bytes of pivots that are broadcast; with more cells than these allow, cells are cut by a hash of the ids.
+#: Bytes of pivots that are broadcast; with more cells than these allow, cells are larger.
 PIVOT_BYTES = 32 << 20
+#: Bytes of the queries of a block, which is broadcast: its vectors and the k best of each.
+BLOCK_BYTES = 32 << 20
 DIGITS = 9
 _SLACK = 1e-7
+#: Similarities are compared as rounded, so a bound is lower by more than rounding changes.
+_ROUNDED = 1e-9
+
+
+def _unit_rows(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
+    x /= np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None]
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+
+
+def _distance(similarity: np.ndarray) -> np.ndarray:
+    """The distance of unit vectors with this rounded similarity, at most; infinite for a similarity of minus infinity."""
+    known = np.isfinite(similarity)
+    return np.where(known, np.sqrt(np.maximum(0.0, 2 - 2 * np.where(known, similarity, 0) + 2 * _ROUNDED)), np.inf)
 
 
 class CoverTree:
-    """Vectors in the order of the tree: each node is a range of them, and its children come after it."""
+    """Unit vectors of raw ones in the order of the tree: each node is a range of them, and its children come after it."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
-        self.ids, self.x = ids, x
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, leaf: int = LEAF):
+        x = _unit_rows(raw)
         order = np.arange(len(x))
         begin, end, centre, radius, child = [0], [len(x)], [x[0]], [0.0], [(0, 0)]
         todo = [0]
@@ -77,27 +93,38 @@ class CoverTree:
                 centre.append(x[rows[p]])
                 radius.append(0.0)
                 child.append((0, 0))
-        self.ids, self.x = ids[order], x[order]
+        self.order, self.ids, self.raw, self.x = order, ids[order], raw[order], x[order]
         self.begin, self.end, self.child = np.array(begin), np.array(end), np.array(child)
         self.centre, self.radius = np.array(centre), np.array(radius)
 
+    def __getstate__(self) -> dict:
+        """Only raw vectors are sent; ``order`` is the builder's."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("x", "order")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.x = _unit_rows(self.raw)
+
     @staticmethod
     def _far(x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, ((x - c) ** 2).sum(1)))
 
 
 class Search:
-    """The k best so far of each vector of one query tree, in the tree's order."""
+    """The k best so far of each vector of one query tree, in the tree's order; ``floor`` is what a k-th similarity is at least known to be."""
 
-    def __init__(self, tree: CoverTree, k: int):
+    def __init__(self, tree: CoverTree, k: int, floor: np.ndarray | None = None):
         self.tree, self.k = tree, k
+        self.floor = np.full(len(tree.ids), -np.inf) if floor is None else floor
         self.near = np.full((len(tree.ids), k), -np.inf)
         self.who = np.full((len(tree.ids), k), np.iinfo(np.int64).max)
 
+    def kth(self, rows: slice) -> np.ndarray:
+        return np.maximum(self.near[rows, -1], self.floor[rows])
+
     def worst(self) -> np.ndarray:
         """For each node the worst k-th distance of its vectors, infinite while one has fewer than k neighbours."""
-        kth = self.near[:, -1]
-        far = np.where(np.isfinite(kth), np.sqrt(np.maximum(0.0, 2 - 2 * np.where(np.isfinite(kth), kth, 0))), np.inf)
+        far = _distance(self.kth(slice(None)))
         nodes, out = self.tree, np.empty(len(self.tree.begin))
         leaves = nodes.child[:, 1] == 0
         starts = np.flatnonzero(leaves)[np.argsort(nodes.begin[leaves], kind="stable")]
@@ -137,8 +164,7 @@ class Search:
                 upto = max(at + 4, len(leaves) // 4) if at == 0 else len(leaves)
                 part = leaves[at:upto]
                 if at:
-                    kth = self.near[q.begin[node] : q.end[node], -1].min()
-                    far = np.sqrt(max(0.0, 2 - 2 * kth)) if np.isfinite(kth) else np.inf
+                    far = _distance(self.kth(slice(q.begin[node], q.end[node]))).max()
                     part = part[bounds[at:upto] <= far + _SLACK]
                 at = upto
                 if len(part):
@@ -149,9 +175,9 @@ class Search:
         s = np.round(self.tree.x[mine] @ data.x[rows].T, DIGITS)
         s[self.tree.ids[mine][:, None] == data.ids[rows][None, :]] = -np.inf
         if s.shape[1] > self.k:
-            floor = np.maximum(self.near[mine, -1], np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
+            floor = np.maximum(self.kth(mine), np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
         else:
-            floor = self.near[mine, -1]
+            floor = self.kth(mine)
         row, col = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
         if not len(row):
             return
@@ -166,111 +192,137 @@ class Search:
         self.near[mine], self.who[mine] = near[top].reshape(n, self.k), who[top].reshape(n, self.k)
 
 
-def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of a list column, and which rows have one."""
+def _arrays(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column, as wide as the widest, and which rows have a direction."""
     n = np.array(column.value_lengths().fill_null(0))
-    flat = column.flatten().cast(pa.float64())
-    values = np.where(np.asarray(flat.is_valid()), flat.fill_null(0.0).to_numpy(zero_copy_only=False), np.nan)
-    x = np.zeros((len(column), width))
+    flat = column.flatten()
+    flat = flat if pa.types.is_float32(flat.type) else flat.cast(pa.float64())
+    kind = flat.type.to_pandas_dtype()
+    values = np.where(np.asarray(flat.is_valid()), flat.fill_null(0.0).to_numpy(zero_copy_only=False), np.nan).astype(kind)
+    x = np.zeros((len(column), width), kind)
     row = np.repeat(np.arange(len(column)), n)
     x[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = values
     good = np.isfinite(x).all(1)
     x[~good] = 0
-    x /= np.maximum(np.abs(x).max(1), 1e-300)[:, None]
-    size = np.sqrt((x * x).sum(1))
-    good &= size > 0
-    return x / np.where(good, size, 1)[:, None], good
-
+    return x, good & (x != 0).any(1)
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize))
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, at.buffers()[1], pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+class Pivots:
+    """Unit vectors, in groups around some of them: a vector's pivot is the nearest one of its nearest group."""
+
+    def __init__(self, x: np.ndarray):
+        # Neighbouring numbers for neighbouring pivots, as their order makes the blocks of queries.
+        self.x = x[np.argsort(x @ np.linalg.svd(x - x.mean(0), full_matrices=False)[2][0], kind="stable")]
+        step = max(1, int(len(x) ** 0.5))
+        self.heads = self.x[::step]
+        owner = (self.x @ self.heads.T).argmax(1)
+        self.members = [np.flatnonzero(owner == h) for h in range(len(self.heads))]
+        for h, m in enumerate(self.members):  # of equal heads the first has the members
+            if not len(m):
+                self.members[h] = np.array([min(h * step, len(x) - 1)])
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        for i in range(0, len(x), 1024):
+            part = x[i : i + 1024]
+            head = (part @ self.heads.T).argmax(1)
+            for h in np.unique(head):
+                rows = np.flatnonzero(head == h)
+                out[i + rows] = self.members[h][(part[rows] @ self.x[self.members[h]].T).argmax(1)]
+        return out
 
-def _tree(payload: bytes) -> CoverTree:
-    return pickle.loads(payload)
 
+def neighbours(vectors: DataFrame, k: int = K, queries: Column | None = None, cell_size: int = CELL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(query_id, rank, neighbour_id, similarity)``: the k vectors of the largest cosine similarity to each query.
 
-def neighbours(vectors: DataFrame, k: int = K, cell_size: int = CELL, group_size: int = GROUP) -> DataFrame:
-    """``(query_id, rank, neighbour_id, similarity)``: the k vectors of the largest cosine similarity to each vector."""
+    ``queries`` is a condition on ``vec_id``; without one every vector is a query.
+    """
     spark = prepare(vectors.sparkSession)
     scratch = Scratch(spark)
-    rows = vectors.where("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = scratch.write(rows, "vectors")
-    n, width = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
     schema = "query_id long, rank int, neighbour_id long, similarity double"
+    given = vectors.where("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    n, width = given.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not n:
         return spark.createDataFrame([], schema)
     cell_size = max(64, min(cell_size, CELL_BYTES // (8 * width)))
-    pivots = min(-(-n // cell_size), PIVOT_BYTES // (8 * width))
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("embedding").toArrow()
-    centres, good = _unit(chosen["embedding"].combine_chunks(), width)
-    centres = centres[good] if good.any() else centres[:1]
-    # Neighbouring numbers for neighbouring pivots, as their order makes the groups.
-    centres = centres[np.argsort(centres @ np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0], kind="stable")]
+    pivots = min(-(-n // cell_size), max(1, PIVOT_BYTES // (8 * width)))
+    chosen = given.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("embedding").toArrow()
+    raw, good = _arrays(chosen["embedding"].combine_chunks(), width)
+    centres = Pivots(_unit_rows(raw[good]) if good.any() else np.eye(1, width))
     shared = spark.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, good = _unit(b.column(1), width)
-            near = np.concatenate([(x[i : i + 1024] @ shared.value.T).argmax(1) for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0, np.int64)
-            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (8 * width))
-            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, at.buffers()[1], pa.py_buffer(np.ascontiguousarray(x).tobytes())])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int64()), packed], ["vec_id", "pivot", "x"]).filter(pa.array(good))
-
-    assigned = scratch.write(rows.mapInArrow(assign, "vec_id long, pivot long, x binary"), "assigned")
-    sizes = assigned.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(2 * cell_size)).alias("parts"))
-    assigned = assigned.join(F.broadcast(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts"))
+            x, good = _arrays(b.column(1), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.nearest(_unit_rows(x))), _packed(x)], ["vec_id", "pivot", "x"]).filter(pa.array(good))
+
+    rows = given.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = scratch.write(rows.mapInArrow(assign, "vec_id long, pivot long, x binary"), "assigned")
+    asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    rows = rows.withColumn("asked", asked)
+    # As many rows as there are pivots.
+    sizes = rows.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(2 * cell_size)).alias("parts"), F.count_if("asked").alias("n")).toArrow().sort_by("pivot")
+    total = sum(sizes["n"].to_pylist())
+    if not total:
+        return spark.createDataFrame([], schema)
+    blocks = -(-total * (8 * width + 24 * k) // block_bytes)
+    before = np.cumsum(sizes["n"].to_numpy()) - sizes["n"].to_numpy()
+    places = spark.createDataFrame(sizes.append_column("before", pa.array(before)), "pivot long, parts long, n long, before long")
+    rows = rows.join(F.broadcast(places), "pivot").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts"))
+    block = F.floor((F.col("before") + F.col("n") * F.col("part") / F.col("parts")) * F.lit(blocks) / F.lit(total))
+    rows = rows.withColumn("block", F.least(block, F.lit(blocks - 1))).select("vec_id", "x", "asked", "pivot", "part", "block")
+    item = 4 if dict(given.dtypes)["embedding"] == "array<float>" else 8
 
     def build(t: pa.Table) -> pa.Table:
         t = t.sort_by("vec_id")
-        x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float64).reshape(len(t), width)
-        tree = CoverTree(t["vec_id"].to_numpy(), x)
-        own = Search(tree, k)
-        own.against(tree)
-        return pa.table({"pivot": t["pivot"][:1], "part": t["part"][:1], "centre": pa.array([tree.centre[0]], pa.list_(pa.float64())), "radius": [float(tree.radius[0])], "bound": [float(own.worst()[0])], "tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
-
-    cells = assigned.groupBy("pivot", "part").applyInArrow(build, "pivot long, part long, centre array<double>, radius double, bound double, tree binary")
-    cells = scratch.write(cells, "cells")
-    groups = max(-(-pivots // group_size), min(pivots, 2 * spark.sparkContext.defaultParallelism))
-    block = (F.col("pivot") * F.lit(groups) / F.lit(max(1, len(centres)))).cast("long")
-    known = scratch.write(cells.select("pivot", "part", "centre", "radius", "bound", block.alias("block")), "known")
-    a, b = known.alias("a"), known.alias("b")
-    apart = F.sqrt(F.aggregate(F.zip_with("a.centre", "b.centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    low = apart - F.col("a.radius") - F.col("b.radius")
-    wanted = a.crossJoin(b).where(low <= F.col("a.bound") + F.lit(_SLACK)).groupBy(F.col("a.block").alias("block"), F.col("b.pivot").alias("pivot"), F.col("b.part").alias("part")).agg(F.min(low).alias("low"))
-    data = wanted.join(cells.select("pivot", "part", "tree"), ["pivot", "part"]).select("block", F.lit(1).alias("kind"), "low", "pivot", "part", "tree")
-    queries = cells.select(block.alias("block"), F.lit(0).alias("kind"), F.lit(0.0).alias("low"), "pivot", "part", "tree")
-    sent = queries.union(data).repartition(groups, "block").sortWithinPartitions("block", "kind", "low", "pivot", "part").select("block", "kind", "tree")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, open_ = None, []
-
-        def results() -> Iterator[pa.RecordBatch]:
-            for s in open_:
-                found = s.who.ravel() != np.iinfo(np.int64).max
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(s.tree.ids, k)[found]), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(s.tree.ids))[found]), pa.array(s.who.ravel()[found]), pa.array(s.near.ravel()[found])],
-                    ["query_id", "rank", "neighbour_id", "similarity"],
-                )
-
-        for batch in batches:
-            for row in range(len(batch)):
-                block, kind = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                if block != now:
-                    yield from results()
-                    now, open_ = block, []
-                tree = _tree(batch.column(2)[row].as_py())
-                if kind == 0:
-                    open_.append(Search(tree, k))
-                    open_[-1].against(tree)
-                    continue
-                for s in open_:
-                    if s.tree.ids[0] != tree.ids[0]:
-                        s.against(tree)
-        yield from results()
-
-    return sent.mapInArrow(search, schema)
+        raw = np.frombuffer(b"".join(t["x"].to_pylist()), f"f{item}").reshape(len(t), width)
+        ids, mine = t["vec_id"].to_numpy(), np.asarray(t["asked"])
+        tree = CoverTree(ids, raw)
+        kinds, blobs = [1], [pickle.dumps(tree, 5)]
+        if mine.any():
+            own = Search(CoverTree(ids[mine], raw[mine]), k)
+            own.against(tree)
+            kinds, blobs = [1, 0], [*blobs, pickle.dumps((own.tree.ids, own.tree.raw, own.near[:, -1]), 5)]
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "block": pa.array(t["block"].to_pylist()[:1] * len(kinds), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    cells = scratch.write(rows.groupBy("pivot", "part").applyInArrow(build, "kind int, block long, blob binary"), "cells")
+    scratch.drop("assigned")
+    found = "query_id long, neighbour_id long, similarity double"
+    for now in range(blocks):
+        blobs = [pickle.loads(x) for x in cells.where((F.col("kind") == 0) & (F.col("block") == now)).select("blob").toArrow()["blob"].to_pylist()]
+        if not blobs:
+            continue
+        ids, raw, floor = (np.concatenate(x) for x in zip(*blobs, strict=True))
+        tree = CoverTree(ids, raw)
+        block_ = spark.sparkContext.broadcast((tree, floor[tree.order]))
+
+        def search(batches: Iterator[pa.RecordBatch], block_=block_) -> Iterator[pa.RecordBatch]:
+            s = Search(block_.value[0], k, block_.value[1])
+            for batch in batches:
+                for blob in batch.column(0):
+                    s.against(pickle.loads(blob.as_buffer()))
+            hit = s.who.ravel() != np.iinfo(np.int64).max
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s.tree.ids, k)[hit]), pa.array(s.who.ravel()[hit]), pa.array(s.near.ravel()[hit])], ["query_id", "neighbour_id", "similarity"])
+
+        scratch.append(cells.where("kind = 1").select("blob").mapInArrow(search, found), "found")
+        block_.unpersist()
+    if "found" not in scratch.paths:
+        return spark.createDataFrame([], schema)
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
+    return scratch.read("found", found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "similarity")
+
 
+#: The rows of the query's query set.
+ASKED = "vec_id % 100 = 0"
 
 ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(min(embedding), lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, round(list_cosine_similarity(a.e, b.e), 9) AS similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, round(list_cosine_similarity(a.e, b.e), 9) AS similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT query_id, row_number() OVER w AS rank, neighbour_id, round(similarity, 6) AS similarity FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, neighbour_id) QUALIFY row_number() OVER w <= 10
 """

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from silterra.llm import covertree as cv
 
@@ -28,7 +29,7 @@ def clustered(n, dim, seed=0):
 def test_tree_covers_and_separates():
     x = np.array(list(clustered(900, 5).values()))
     tree = cv.CoverTree(np.arange(900), x)
-    assert sorted(tree.ids) == list(range(900)) and (tree.x == x[tree.ids]).all()
+    assert sorted(tree.ids) == list(range(900)) and (tree.x == cv._unit_rows(x)[tree.ids]).all()
     for node in range(len(tree.begin)):
         inside = tree.x[tree.begin[node] : tree.end[node]]
         assert cv.CoverTree._far(inside, tree.centre[node]).max() <= tree.radius[node] + 1e-12
@@ -44,11 +45,24 @@ def test_equal_to_brute_force(spark, n, dim, cell):
     vectors = clustered(n, dim)
     rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
     got = {}
-    for r in sorted(cv.neighbours(rows, 7, cell, 4).collect(), key=lambda r: (r.query_id, r["rank"])):
+    for r in sorted(cv.neighbours(rows, 7, None, cell, 40_000).collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r.neighbour_id, r.similarity))
     assert got == brute(vectors, 7)
 
 
+def test_query_set_and_hot_copies(spark):
+    vectors = clustered(900, 8, seed=2)
+    for i in list(vectors)[::3]:
+        vectors[i] = [1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 3.0]
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    got = {}
+    for r in sorted(cv.neighbours(rows, 5, F.expr("vec_id % 100 = 0"), 64).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.neighbour_id, r.similarity))
+    want = brute({i: np.array(v, np.float32).astype(float) for i, v in vectors.items()}, 5)
+    assert got == {i: v for i, v in want.items() if i % 100 == 0}
+    assert cv.neighbours(rows, 5, F.expr("vec_id < 0")).count() == 0
+
+
 def test_pruning_skips_work():
     vectors = clustered(2000, 3, seed=4)
     tree = cv.CoverTree(np.array(list(vectors)), np.array([np.array(v) / np.linalg.norm(v) for v in vectors.values()]))
