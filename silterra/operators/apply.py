@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from silterra.config import MinHashConfig
 from silterra.functions import text as T
+from silterra.operators.skew import free_name, ranked
+from silterra.session import Scratch
 
 
 def kill_list(components: DataFrame) -> DataFrame:
@@ -15,21 +17,24 @@ def kill_list(components: DataFrame) -> DataFrame:
 
 
 def prune(docs: DataFrame, components: DataFrame) -> DataFrame:
-    gone = kill_list(components).select(F.col("doc_id").alias("__doc"))
-    return docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")
+    """docs without those that ``kill_list`` names; rows that repeat an id stay or go together."""
+    gone = kill_list(components).select(F.col("doc_id").alias(f"{free_name(docs)}doc"))
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 def positions(components: DataFrame) -> DataFrame:
-    """``(doc_id, cc_id, cc_size, cc_idx)`` of each member."""
-    group = Window.partitionBy("cc_id")
-    return components.select("doc_id", "cc_id", F.count("*").over(group).alias("cc_size"), (F.row_number().over(group.orderBy("doc_id")) - 1).cast("long").alias("cc_idx"))
+    """``(doc_id, cc_id, cc_size, cc_idx)`` of each member; rows that repeat a member count once. A component may hold any share of all rows."""
+    rows = Scratch(components.sparkSession).write(components.select("doc_id", F.col("cc_id").alias("key")).distinct(), "members")
+    return ranked(rows, "key").select("doc_id", F.col("key").alias("cc_id"), "cc_size", "cc_idx")
 
 
 def annotate(docs: DataFrame, components: DataFrame, name: str = "minhash") -> DataFrame:
-    """docs with a struct of component id, size and position; one in no component is its own, of size 1."""
-    found = positions(components).select(F.col("doc_id").alias("__doc"), F.struct("cc_id", "cc_size", "cc_idx").alias("__found"))
-    alone = F.struct(F.col("doc_id").alias("cc_id"), F.lit(1).cast("long").alias("cc_size"), F.lit(0).cast("long").alias("cc_idx"))
-    return docs.join(found, docs["doc_id"] == found["__doc"], "left").withColumn(name, F.coalesce("__found", alone)).drop("__doc", "__found")
+    """docs with a struct of component id, size and position; one in no component is its own, of size 1. Rows that repeat an id have the same."""
+    free = free_name(docs)
+    found = positions(components).select(F.col("doc_id").alias(f"{free}doc"), F.struct("cc_id", "cc_size", "cc_idx").alias(f"{free}found"))
+    alone = F.struct(docs["doc_id"].alias("cc_id"), F.lit(1).cast("long").alias("cc_size"), F.lit(0).cast("long").alias("cc_idx"))
+    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found[f"{free}doc"], "left")
+    return joined.select(*[docs[c] for c in docs.columns if c != name], F.coalesce(f"{free}found", alone).alias(name))
 
 
 def true_jaccard(docs: DataFrame, components: DataFrame, config: MinHashConfig) -> DataFrame:

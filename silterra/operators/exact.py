@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silterra.operators.skew import free_name, ranked
+from silterra.session import Scratch
+
+
+def _digest(column: str) -> Column:
+    """Of a row's text; a row without text or id is like no other."""
+    none = F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return F.when(F.col("doc_id").isNull(), F.encode(none, "utf-8")).otherwise(F.coalesce(F.unhex(F.sha2(F.col(column), 256)), F.encode(none, "utf-8")))
+
+
+def _ranked(docs: DataFrame, column: str) -> DataFrame:
+    rows = docs.where("doc_id is not null").select("doc_id", _digest(column).alias("digest")).distinct()
+    return ranked(Scratch(docs.sparkSession).write(rows, "digests"), "digest")
+
 
 def text_groups(docs: DataFrame, column: str = "text") -> DataFrame:
     """``(doc_id, cc_id, cc_size, cc_idx)`` of every document with a text; a group is named by its least id.
 
-    Only ids and SHA-256 digests are shuffled. A null text is no text and its document a group by itself.
+    Only ids and SHA-256 digests are shuffled, and a group may hold any share of all rows. A null text is no text and its document a group by
+    itself. Rows that repeat an id and its text are one document; an id with several texts is a document with each. Rows with a null id are in no group.
     """
-    digest = F.coalesce(F.sha2(F.col(column), 256), F.concat(F.lit("null "), F.col("doc_id").cast("string")))
-    group = Window.partitionBy("digest")
-    rows = docs.select("doc_id", digest.alias("digest"))
-    return rows.select("doc_id", F.min("doc_id").over(group).alias("cc_id"), F.count("*").over(group).alias("cc_size"), (F.row_number().over(group.orderBy("doc_id")) - 1).cast("long").alias("cc_idx"))
+    return _ranked(docs, column).select("doc_id", "cc_id", "cc_size", "cc_idx")
 
 
 def exact_annotate(docs: DataFrame, column: str = "text", name: str = "exact_dedup") -> DataFrame:
-    """docs with a struct of group id, size and position."""
-    groups = text_groups(docs, column).select(F.col("doc_id").alias("__doc"), F.struct("cc_id", "cc_size", "cc_idx").alias(name))
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["__doc"]), "left").drop("__doc")
+    """docs with a struct of group id, size and position; one with a null id is alone."""
+    free = free_name(docs)
+    groups = _ranked(docs, column).select(F.col("doc_id").alias(f"{free}doc"), F.col("digest").alias(f"{free}key"), F.struct("cc_id", "cc_size", "cc_idx").alias(f"{free}found"))
+    alone = F.struct(docs["doc_id"].alias("cc_id"), F.lit(1).cast("long").alias("cc_size"), F.lit(0).cast("long").alias("cc_idx"))
+    same = (docs["doc_id"] == F.col(f"{free}doc")) & (_digest(column) == F.col(f"{free}key"))
+    joined = docs.join(groups.hint("shuffle_hash"), same, "left")
+    return joined.select(*[docs[c] for c in docs.columns if c != name], F.coalesce(f"{free}found", alone).alias(name))
 
 
 def exact_prune(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs without those whose text a smaller id has."""
-    gone = text_groups(docs, column).where("cc_idx > 0").select(F.col("doc_id").alias("__doc"))
-    return docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")
+    """docs without those whose text a smaller id has. Rows that repeat an id and its text stay or go together."""
+    free = free_name(docs)
+    gone = _ranked(docs, column).where("cc_idx > 0").select(F.col("doc_id").alias(f"{free}doc"), F.col("digest").alias(f"{free}key"))
+    return docs.join(gone.hint("shuffle_hash"), (docs["doc_id"] == F.col(f"{free}doc")) & (_digest(column) == F.col(f"{free}key")), "left_anti")
 
 
 def size_index(groups: DataFrame) -> DataFrame:

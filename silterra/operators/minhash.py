@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silterra.config import MinHashConfig
 from silterra.functions import text as T
 from silterra.operators.components import connected_components
-from silterra.session import prepare
+from silterra.operators.skew import group_join
+from silterra.session import Scratch, prepare
 
 #: Residues that are permuted at a time.
 PIECE = 1 << 16
@@ -70,9 +71,11 @@ def band_signatures(vectors: DataFrame, config: MinHashConfig) -> DataFrame:
 
 
 def star_edges(signatures: DataFrame) -> DataFrame:
-    """``(u, v)``: each member of a group with equal band and signature, and the group's least member. No group is ever gathered."""
-    group = Window.partitionBy("band", "sig")
-    return signatures.withColumn("v", F.min("doc_id").over(group)).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+    """``(u, v)``: each member of a group with equal band and signature, and the group's least member. Groups are counted before anything is shuffled."""
+    rows = Scratch(signatures.sparkSession).write(signatures.select("doc_id", "band", "sig"), "signatures")
+    groups = rows.groupBy("band", "sig").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1")
+    groups = Scratch(signatures.sparkSession).write(groups, "groups")
+    return group_join(rows, groups, ["band", "sig"], rows.count()).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
 
 
 def fuzzy_components(docs: DataFrame, config: MinHashConfig) -> DataFrame:
@@ -80,5 +83,6 @@ def fuzzy_components(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     if config.mode == "exact":
         from silterra.operators.exact import text_groups
 
-        return text_groups(docs, config.content_key).where("cc_size > 1").select("doc_id", "cc_id")
+        found = text_groups(docs, config.content_key).where("cc_size > 1")
+        return found.groupBy("doc_id").agg(F.min("cc_id").alias("cc_id"))
     return connected_components(star_edges(band_signatures(minhash_vectors(docs, config), config)))

@@ -29,14 +29,14 @@ def union_find(edges):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("local", [10_000, 0])
-def test_components_equal_union_find(spark, local):
+@pytest.mark.parametrize("piece", [1 << 20, 7])
+def test_components_equal_union_find(spark, piece):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5), (None, 4), (7, None)]
-    got = {r.doc_id: r.cc_id for r in connected_components(spark.createDataFrame(edges, "u long, v long"), local).collect()}
+    got = {r.doc_id: r.cc_id for r in connected_components(spark.createDataFrame(edges, "u long, v long"), piece).collect()}
     want = union_find([(u, v) for u, v in edges if u is not None and v is not None and u != v])
     assert got == want
-    assert connected_components(spark.createDataFrame([], "u long, v long"), local).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long"), piece).count() == 0
 
 
 def test_exact_groups_are_raw_texts(spark):
@@ -54,6 +54,39 @@ def test_exact_groups_are_raw_texts(spark):
     assert tagged == {i: n for i, (_, n, _) in got.items()}
 
 
+def test_repeated_ids_neither_vanish_nor_multiply(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (2, "b", "x"), (3, "a", "x"), (3, "c", "x"), (None, "a", "x"), (None, "a", "x"), (4, None, "x"), (4, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc string")
+    plain = lambda df: sorted(((r.doc_id, r.text, r["__doc"]) for r in df.collect()), key=str)
+    assert plain(exact.exact_prune(docs)) == sorted([r for r in rows if r != (3, "a", "x")], key=str)
+    tagged = exact.exact_annotate(docs)
+    assert plain(tagged) == sorted(rows, key=str)
+    got = {(r.doc_id, r.text): tuple(r.exact_dedup) for r in tagged.collect()}
+    assert got == {(1, "a"): (1, 2, 0), (3, "a"): (1, 2, 1), (2, "b"): (2, 1, 0), (3, "c"): (3, 1, 0), (None, "a"): (None, 1, 0), (4, None): (4, 1, 0)}
+    found = spark.createDataFrame([(1, 1), (3, 1), (3, 1)], "doc_id long, cc_id long")
+    assert plain(apply.annotate(docs, found)) == sorted(rows, key=str)
+    assert plain(apply.prune(docs, found)) == sorted([r for r in rows if r[0] != 3], key=str)
+    assert {r.doc_id: tuple(r.minhash) for r in apply.annotate(docs, found).collect()}[3] == (1, 2, 1)
+
+
+def test_a_million_equal_texts(spark):
+    docs = spark.range(1_000_000).select((F.col("id") * 7 % 1_000_003).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("the same").alias("text"))
+    got = exact.text_groups(docs).agg(F.count("*").alias("n"), F.max("cc_size").alias("most"), F.countDistinct("cc_id").alias("groups"), F.max("cc_idx").alias("last"), F.sum(F.when(F.col("cc_size") > 1, F.col("cc_idx"))).alias("sum")).first()
+    same = 1_000_000 - 333_334
+    assert tuple(got) == (1_000_000, same, 333_335, same - 1, same * (same - 1) // 2)
+    first = docs.where("text = 'the same'").orderBy("doc_id").limit(1).first().doc_id
+    assert exact.text_groups(docs).where("cc_idx = 12345 and cc_size > 1").first().cc_id == first
+
+
+def test_group_join_with_heavy_keys(spark):
+    from silterra.operators.skew import group_join
+
+    rows = spark.createDataFrame([(i, i % 2 if i < 900 else i) for i in range(1000)] + [(-1, None)], "i long, k long")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    got = {r.i: (r.n, r.least) for r in group_join(rows, groups, ["k"], 1001).collect()}
+    assert got == {i: (450, i % 2) if i < 900 else (1, i) for i in range(1000)}
+
+
 def brute_vector(text, config):
     import regex
 
