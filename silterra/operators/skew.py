@@ -1,6 +1,6 @@
 """Groups of any size: joins and ranks that no key, however many rows it has, can put into one task.
 
-A key with more than one in ``SHARE`` of all rows is heavy. At most ``SHARE`` keys are, so what is kept of each of them can be broadcast whatever the
+A key with more than one in so many of all rows is heavy. At most so many keys are, so what is kept of each of them can be broadcast whatever the
 size of the table; all other groups are small beside a task's share of a shuffle.
 """
 
@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARE = 256
-#: Ranges of ids that a heavy group is ranked in.
-RANGES = 256
+#: Heavy keys of a join, at most.
+SHARE = 4096
+#: Heavy keys of a ranking, at most, and ranges of ids that each of their groups is ranked in.
+RANKED, RANGES = 256, 256
 
 
 def group_join(rows: DataFrame, groups: DataFrame, key: list[str], total: int, size: str = "n") -> DataFrame:
@@ -43,7 +44,7 @@ def ranked(rows: DataFrame, key: str, id_: str = "doc_id") -> DataFrame:
     rows are a written table of ``(id, key)`` without repeats, as it is read several times. A heavy group is ranked by ranges of its ids.
     """
     total, splits = rows.agg(F.count("*"), F.percentile_approx(id_, [k / RANGES for k in range(1, RANGES)])).first()
-    heavy = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > F.lit(total / SHARE)).select(key, F.lit(True).alias("heavy"))
+    heavy = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > F.lit(total / RANKED)).select(key, F.lit(True).alias("heavy"))
     cut = rows.join(F.broadcast(heavy), key, "left").withColumn("range", F.when(F.col("heavy"), _range(F.col(id_), sorted(set(splits or [])))).otherwise(F.lit(0)))
     parts = cut.where("heavy").groupBy(key, "range").agg(F.count("*").alias("n"), F.min(id_).alias("least"))
     whole = Window.partitionBy(key)
