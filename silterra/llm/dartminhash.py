@@ -7,14 +7,16 @@ place on the weight axis and a coordinate out of ``COORDINATES``. A document see
 and, of these, keeps the earliest at each coordinate. The same dart is earliest for two documents with the probability
 of their weighted Jaccard similarity, and about k ln k darts are thrown whatever the number of elements.
 
-Candidates share all darts of a band. Every candidate pair is compared on the whole signature, or is already known to be in one
-group: first each bucket's members with its smallest id, then, in buckets that still hold several groups, all pairs
-across them. Groups are the components of pairs at or above the threshold, so nothing is capped and a bucket of
-thousands of copies costs one comparison each.
+Documents with one signature are copies; only the smallest id of each such class goes on. Candidates share all darts of a band. Every
+candidate pair is compared on the whole signature, or is already known to be in one group: first each bucket's members with
+its smallest id, then, in buckets that still hold several groups, all pairs across these, in pairs of blocks of ``SIDE`` members, which
+travel with their signatures. Of a pair of blocks only edges that join its groups leave the task. Groups are the components of pairs at or
+above the threshold, so nothing is capped and a bucket of thousands of near copies costs one comparison each. Buckets and
+classes are counted before they are shuffled, and heavy ones are joined where their rows lie.
 
 Defined results: a document without text (null) or id is in no group. Texts without words, empty ones among them, are
-copies of each other. Rows that repeat a ``doc_id`` are one document. The smallest id names a group and is the document
-that stays. Other columns are not touched. An empty table has no groups.
+copies of each other. Rows that repeat a ``doc_id`` are one document, like all that any of its texts is like. The smallest id names a group and
+is the document that stays. Other columns are not touched. An empty table has no groups.
 """
 
 from __future__ import annotations
@@ -23,17 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silterra.llm.textbytes import U64, mix, occurrences, shingles, text_chunks, words
-from silterra.operators.components import connected_components
+from silterra.operators.components import connected_components, union_find
+from silterra.operators.skew import free_name, group_join
 from silterra.session import Scratch, prepare
 
 SHINGLE = 3
 COORDINATES = 128
 ROWS = 4
 THRESHOLD = 0.5
+#: Members of a bucket that are compared with as many others at a time.
+SIDE = 512
+_PAIRS = 1 << 16
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -144,26 +150,83 @@ def similar(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    ids, roots = union_find(u, v) if len(u) else (u, v)
+    far = ids != roots
+    return pa.RecordBatch.from_arrays([pa.array(ids[far], pa.int64()), pa.array(roots[far], pa.int64())], ["u", "v"])
+
+
+def compared(t: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Edges of the similar pairs across parts within each run of equal ``(key, low, high)``: of two blocks, pairs across these as well."""
+    key, low, high, block, part, ids = (t[c].to_numpy() for c in ("key", "low", "high", "block", "part", "doc_id"))
+    sig = _matrix(t["signature"].combine_chunks())
+    new = np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(key)))
+    # The first of a pair is before the second in its run, so a row has as many pairs as there are rows after it.
+    after = np.repeat(start + size, size) - np.arange(len(key)) - 1
+    total = np.append(0, np.cumsum(after))
+    us, vs = [], []
+    for at in range(0, int(total[-1]), _PAIRS):
+        pair = np.arange(at, min(at + _PAIRS, total[-1]))
+        a = np.searchsorted(total, pair, "right") - 1
+        b = a + 1 + pair - total[a]
+        good = (part[a] != part[b]) & ((low[a] == high[a]) | (block[a] != block[b]))
+        a, b = a[good], b[good]
+        same = (sig[a] == sig[b]).mean(1) >= threshold if len(a) else np.zeros(0, bool)
+        us.append(ids[a[same]])
+        vs.append(ids[b[same]])
+    if us:
+        yield _forest(np.concatenate(us), np.concatenate(vs))
+
+
+def across(open_: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """Edges ``(u, v)`` that join the parts of ``(key, doc_id, part, n)`` as all similar pairs across parts of a bucket of n do."""
+    blocks = F.ceil(F.col("n") / F.lit(SIDE)).cast("int")
+    rows = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+    rows = rows.join(sigs.select("doc_id", "signature"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "part", "doc_id", "signature")
+    run_ = ["key", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not len(t):
+                continue
+            same = np.logical_and.reduce([t[c].to_numpy() == t[c][-1].as_py() for c in run_])
+            last = len(t) - int(same[::-1].argmin()) if not same.all() else 0
+            if last:
+                yield from compared(t.slice(0, last), threshold)
+            held = t.slice(last)
+        if held is not None and len(held):
+            yield from compared(held, threshold)
+
+    return rows.repartition(*run_).sortWithinPartitions(*run_).mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, group_id)`` of every document that has a near duplicate; ``group_id`` is the group's smallest id."""
     scratch = Scratch(docs.sparkSession)
-    sigs = scratch.write(signatures(docs), "signatures").dropDuplicates(["doc_id"])
-    alike = sigs.groupBy("size", "whole").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = scratch.write(sigs.select("doc_id", "size", "whole").join(alike, ["size", "whole"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v"), "copies")
-    distinct = sigs.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
-    key = Window.partitionBy("key")
-    buckets = distinct.select("doc_id", F.explode("bands").alias("key")).withColumns({"v": F.min("doc_id").over(key), "n": F.count("*").over(key)}).where("n > 1")
-    buckets = scratch.write(buckets.drop("n"), "buckets")
+    all_ = scratch.write(signatures(docs), "signatures")
+    total = all_.count()
+    classes = all_.groupBy("size", "whole").agg(F.min("doc_id").alias("v"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    classes = scratch.write(classes, "classes")
+    alike = classes.where("n > 1").select("size", "whole", "v", "n")
+    copies = group_join(all_.select("doc_id", "size", "whole"), alike, ["size", "whole"], total).where("doc_id <> v")
+    copies = scratch.write(copies.select(F.col("doc_id").alias("u"), "v"), "copies")
+    scratch.drop("signatures")
+    sigs = classes.select(F.col("v").alias("doc_id"), "signature", "bands")
+    banded = sigs.select("doc_id", F.explode("bands").alias("key"))
+    keys = scratch.write(banded.groupBy("key").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1"), "keys")
+    buckets = scratch.write(group_join(banded, keys, ["key"], total * (COORDINATES // ROWS)), "buckets")
     tried = scratch.write(buckets.where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct(), "tried")
     found = scratch.write(similar(tried, sigs, threshold), "found")
     part = connected_components(found)
-    placed = buckets.join(part, "doc_id", "left").select("key", "doc_id", F.coalesce("cc_id", "doc_id").alias("part"))
-    open_ = placed.withColumns({"lo": F.min("part").over(key), "hi": F.max("part").over(key)}).where("lo < hi").select("key", "doc_id", "part")
-    open_ = scratch.write(open_, "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")))
-    across = across.select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v")).distinct()
-    rest = scratch.write(similar(across.join(tried, ["u", "v"], "left_anti"), sigs, threshold), "rest")
+    placed = scratch.write(buckets.join(part, "doc_id", "left").select("key", "doc_id", F.coalesce("cc_id", "doc_id").alias("part")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    open_ = group_join(placed, scratch.write(mixed, "mixed"), ["key"], placed.count())
+    rest = scratch.write(across(open_, sigs, threshold), "rest")
     return connected_components(found.union(rest).union(copies)).select("doc_id", F.col("cc_id").alias("group_id"))
 
 
@@ -172,5 +235,6 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     The ids are shuffled to the documents at every size, as they grow with them; only ids are held in hash tables, and no text is sorted.
     """
-    gone = near_duplicates(docs, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).hint("shuffle_hash")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    name = f"{free_name(docs)}gone"
+    gone = near_duplicates(docs, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias(name)).hint("shuffle_hash")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -87,3 +87,27 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: -1 if x is None else x) == [None, 1, 2, 4, 5, 7, 9, 9]
     assert dm.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_blocks_find_all_pairs_across_parts(spark, monkeypatch):
+    monkeypatch.setattr(dm, "SIDE", 4)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, (6, 128)).astype(np.uint16)
+    sig = base[rng.integers(6, size=70)].copy()
+    for r in sig:
+        r[rng.integers(0, 128, rng.integers(0, 70))] = 7
+    ids, key = np.arange(70) * 5, np.where(np.arange(70) < 50, 1, np.arange(70) % 3 + 2)
+    sigs = spark.createDataFrame([(int(i), r.tobytes()) for i, r in zip(ids, sig)], "doc_id long, signature binary")
+    sizes = {k: int((key == k).sum()) for k in set(key.tolist())}
+    rows = spark.createDataFrame([(int(k), int(i), int(i) // 10, sizes[int(k)]) for k, i in zip(key, ids)], "key long, doc_id long, part long, n long")
+    got = [(r.u, r.v) for r in dm.across(rows, sigs, 0.5).collect()]
+    want = [(int(ids[i]), int(ids[j])) for i in range(70) for j in range(i) if key[i] == key[j] and ids[i] // 10 != ids[j] // 10 and (sig[i] == sig[j]).mean() >= 0.5]
+    edges = lambda e: spark.createDataFrame(e, "u long, v long")
+    parts = lambda e: {r.doc_id: r.cc_id for r in dm.connected_components(edges(e)).collect()}
+    assert len(want) > 50 and parts(got) == parts(want)
+
+
+def test_every_text_of_a_repeated_id_counts(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    docs = spark.createDataFrame([(5, a), (5, b), (7, a + " more"), (9, b + " more"), (11, "else")], "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in dm.near_duplicates(docs).collect()} == {5: 5, 7: 5, 9: 5}
