@@ -3,7 +3,9 @@
 Every word position starts a suffix. Suffixes are ordered only through their first ``LENGTH`` words, by passes over
 digits of ``DIGIT`` words from the most significant one on; a suffix whose digits so far are unlike all others leaves
 after each pass, and the groups left after the last are exactly the windows of ``LENGTH`` words that occur repeatedly.
-All passes share one shuffle, on the first digit.
+All passes share one shuffle, on the first digit. Suffixes whose anchor is common (see ``COMMON``) are instead
+counted by all their digits before anything is shuffled, and each is told of its group where it lies if that is heavy, so a passage that
+a third of all texts have is in no one task.
 
 Most suffixes never reach the first pass. Each window has an anchor, the least hash of its runs of ``DIGIT`` words. Equal windows
 have equal anchors, so a window whose anchor occurs once in the corpus isn't repeated; anchors are one in eighteen of
@@ -29,10 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silterra.llm.textbytes import U64, WORDS_SQL, mix, text_chunks, words
+from silterra.operators.skew import free_name, group_join
 from silterra.session import Scratch, prepare
 
 LENGTH = 50
 DIGIT = 16
+#: At most so many anchors are common: those that more than ``FEW`` texts and this share of all anchors of all texts have.
+COMMON = 1 << 16
+FEW = 32
 
 
 def digits(h: np.ndarray) -> np.ndarray:
@@ -103,11 +109,12 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """``(d1, rest, doc_id, pos)`` of each window whose anchor is among its document's ``anchors``."""
+    """``(d1, rest, doc_id, pos, common)`` of each window whose anchor is among its document's ``anchors``, or its ``common`` ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(2)
+            often = np.unique(b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
             for i, n, buf, offsets in text_chunks(b.column(1)):
                 _, _, h, first = words(buf, offsets)
                 start, text, anchor, g = windows(h, first, length)
@@ -115,7 +122,8 @@ def _suffixes(docs: DataFrame, length: int) -> DataFrame:
                 if not len(start) or not len(known):
                     continue
                 kept = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
-                start, text = start[kept], text[kept]
+                start, text, anchor = start[kept], text[kept], anchor[kept]
+                common = np.isin(anchor, often)
                 ids = b.column(0).slice(i, n).to_numpy(zero_copy_only=False)
                 steps = [*range(DIGIT, length - DIGIT, DIGIT), length - DIGIT]
                 second, third = g[start + steps[0]], np.zeros(len(start), U64)
@@ -124,9 +132,9 @@ def _suffixes(docs: DataFrame, length: int) -> DataFrame:
                 rest = (second & U64(0xFFFFFFFF00000000)) | (third >> U64(32))
                 for j in range(0, len(start), 1 << 16):
                     part = slice(j, j + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(g[start[part]].view(np.int64)), pa.array(rest[part].view(np.int64)), pa.array(ids[text[part]]), pa.array((start - first[text])[part].astype(np.int32))], ["d1", "rest", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g[start[part]].view(np.int64)), pa.array(rest[part].view(np.int64)), pa.array(ids[text[part]]), pa.array((start - first[text])[part].astype(np.int32)), pa.array(common[part])], ["d1", "rest", "doc_id", "pos", "common"])
 
-    return docs.mapInArrow(run, "d1 long, rest long, doc_id long, pos int")
+    return docs.mapInArrow(run, "d1 long, rest long, doc_id long, pos int, common boolean")
 
 
 def _merge(grouped: DataFrame, length: int) -> DataFrame:
@@ -159,15 +167,19 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scratch = Scratch(prepare(docs.sparkSession))
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = scratch.write(_scan(docs, length), "scan")
-    same = scan.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("last")).where("original <> last").drop("last")
-    alike = scratch.write(scan.select("doc_id", "n", "hi", "lo").join(same, ["n", "hi", "lo"]).select("doc_id", "n", "original").distinct(), "alike")
-    copies = alike.where("doc_id <> original").select("doc_id")
-    value = Window.partitionBy("anchor")
-    anchors = scan.select("doc_id", F.explode(F.arrays_zip("anchors", "twice")).alias("a")).select("doc_id", F.col("a.anchors").alias("anchor"), F.col("a.twice").alias("twice"))
-    anchors = anchors.join(copies, "doc_id", "left_anti").withColumns({"lo": F.min("doc_id").over(value), "hi": F.max("doc_id").over(value), "twice": F.max("twice").over(value)})
-    wanted = anchors.where("lo <> hi or twice").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    rows = _suffixes(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors"), length)
+    same = scan.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).where("original <> last").drop("last")
+    alike = group_join(scan.select("doc_id", "n", "hi", "lo"), scratch.write(same, "same"), ["n", "hi", "lo"], scan.count(), "rows")
+    alike = scratch.write(alike.select("doc_id", "n", "original").distinct(), "alike")
+    copies = alike.where("doc_id <> original").select("doc_id").hint("shuffle_hash")
+    anchors = scan.join(copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("anchors", "twice")).alias("a")).select("doc_id", F.col("a.anchors").alias("anchor"), F.col("a.twice").alias("twice"))
+    anchors = scratch.write(anchors, "anchors")
+    total = anchors.count()
+    values = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("twice").alias("twice"), F.count("*").alias("n")).where("lo <> hi or twice")
+    values = scratch.write(values.select("anchor", "n", (F.col("n") > F.lit(FEW + total / COMMON)).alias("common")), "values")
+    wanted = group_join(anchors.select("doc_id", "anchor"), values, ["anchor"], total).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("common"), F.col("anchor"))).alias("often"))
+    all_ = scratch.write(_suffixes(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors", "often"), length), "suffixes")
     place = F.struct("doc_id", "pos")
+    rows = all_.where("not common")
     keys: list = ["d1"]
     for key in (None, F.shiftright("rest", 32), F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF))):
         if key is not None:
@@ -175,6 +187,10 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             rows, keys = rows.withColumn(name, key), [*keys, name]
         group = Window.partitionBy(*keys)
         rows = rows.withColumns({"least": F.min(place).over(group), "most": F.max(place).over(group)}).where("least <> most")
+    often = all_.where("common").select("d1", "rest", "doc_id", "pos")
+    groups = often.groupBy("d1", "rest").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count("*").alias("n")).where("least <> most").drop("most")
+    often = group_join(often, scratch.write(groups, "groups"), ["d1", "rest"], often.count())
+    rows = rows.select("doc_id", "pos", "least").union(often.select("doc_id", "pos", "least"))
     code = F.shiftleft(F.col("pos").cast("long"), 1) + (place != F.col("least")).cast("long")
     found = _merge(rows.select("doc_id", code.alias("code")).groupBy("doc_id").agg(F.collect_list("code").alias("codes")), length)
     found = scratch.write(found, "found")
@@ -207,12 +223,13 @@ def cut_text(raw: bytes, cuts: list[list[int]]) -> str:
 
 
 def drop_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with later occurrences of repeated passages cut from ``text``; same columns."""
-    gone = repeated(docs, length).where("size(cuts) > 0").select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
-    free = "__cuts"
-    while free in docs.columns:
-        free += "_"
-    joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left").select(*[docs[c] for c in docs.columns], gone["__cuts"].alias(free))
+    """docs with later occurrences of repeated passages cut from ``text``; same columns.
+
+    What is cut is shuffled to the documents at every size, as it grows with them; no text is sorted.
+    """
+    free = free_name(docs)
+    gone = repeated(docs, length).where("size(cuts) > 0").select(F.col("doc_id").alias(f"{free}id"), F.col("cuts").alias(f"{free}cuts")).hint("shuffle_hash")
+    joined = docs.join(gone, docs["doc_id"] == gone[f"{free}id"], "left").drop(f"{free}id")
     where, names = docs.columns.index("text"), docs.columns
     count = names.index("n_chars") if "n_chars" in names and docs.schema["n_chars"].dataType.typeName() in ("long", "integer") else None
 

@@ -58,6 +58,17 @@ def test_equal_to_brute_force(spark, length):
     assert got == brute(docs, length)
 
 
+def test_a_common_passage_and_a_hot_first_digit(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(400)]
+    passage, start = " ".join(rng.choice(vocab, 70)), " ".join(rng.choice(vocab, 20))
+    rare = [" ".join(rng.choice(vocab, 60)) for _ in range(9)]
+    docs = {i: " ".join([*rng.choice(vocab, 30), start, rare[i % 9] if i % 2 else passage, *rng.choice(vocab, 30)]) for i in range(240)}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.cuts) for r in sd.repeated(rows).collect()}
+    assert got == brute(docs, sd.LENGTH)
+
+
 def test_cutting_leaves_one_of_each(spark):
     docs = corpus(5)
     rows = spark.createDataFrame([(i, t, "x", len(t)) for i, t in docs.items()], "doc_id long, text string, __x string, n_chars int")
