@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from silterra.llm.markup import pieces
 from silterra.session import Scratch, prepare
 
 PAGES = 4
@@ -43,36 +44,54 @@ TOLERANCE = 0.1
 BROADCAST_TOKENS = 200_000
 FLUSH = 200_000
 
-_PIECE = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<(/?[a-zA-Z][^\s>/]*)([^>]*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _INLINE = {"a", "abbr", "b", "code", "em", "i", "small", "span", "strong", "sub", "sup", "u"}
 _LOW = (1 << 31) - 1
 
 
+#: Tags and tokens that a worker has seen lately; both are forgotten when there are too many.
+_tags: dict[str, str] = {}
+_keys: dict[str, int] = {}
+_SEEN = 100_000
+
+
+def _tag(raw: str, name: str, attributes: str) -> str:
+    name = name.lower()
+    if "class" in attributes or "id" in attributes or "CLASS" in attributes or "ID" in attributes:
+        name += "".join(sorted(f" {k.lower()}={v.strip(chr(34) + chr(39))}" for k, v in _NAMED.findall(attributes)))
+    if len(_tags) > _SEEN:
+        _tags.clear()
+    _tags[raw] = f"<{name}>"
+    return _tags[raw]
+
+
 def tokens(page: str) -> list[tuple[str, str | None]]:
     """``(token, text)``: the text of a text token is what it shows, that of a tag None."""
     out: list[tuple[str, str | None]] = []
-    for m in _PIECE.finditer(page):
-        tag = m[2]
-        if tag:
-            name = tag.lower()
-            attributes = m[3]
-            if "class" in attributes or "id" in attributes or "CLASS" in attributes or "ID" in attributes:
-                name += "".join(sorted(f" {k.lower()}={v.strip(chr(34) + chr(39))}" for k, v in _NAMED.findall(attributes)))
-            out.append((f"<{name}>", None))
-        elif m[0][0] != "<" or len(m[0]) == 1:
-            words = markup.unescape(m[0]).split()
+    for m in pieces(page):
+        raw = m[0]
+        if m.lastindex == 4:
+            words = (markup.unescape(raw) if "&" in raw else raw).split()
             if len(words) <= SHORT:
                 out += [(w, w) for w in words]
             else:
                 text = " ".join(words)
                 out.append((text, text))
+        elif m.lastindex == 3:
+            out.append((_tags.get(raw) or _tag(raw, m[2], m[3]), None))
     return out
 
 
 def key(token: str) -> int:
-    h = xxhash.xxh64_intdigest(token)
-    return h - (1 << 64) if h >> 63 else h
+    found = _keys.get(token)
+    if found is None:
+        h = xxhash.xxh64_intdigest(token)
+        found = h - (1 << 64) if h >> 63 else h
+        if len(_keys) > _SEEN:
+            _keys.clear()
+        if len(token) < 64:
+            _keys[token] = found
+    return found
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,17 +241,24 @@ def deduce(pages: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            keys, values = list(found), list(found.values())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[j] for v in values], pa.int64()) for j in range(4)]], ["host", "token", "n", "bad", "low", "high"])
+
         for b in batches:
             hosts_ = b.column(0).to_pylist()
             for _, i, template, page in _templates(iter([b]), 3):
                 for t, n, bad, low, high in _evidence(template, [key(x) for x, _ in tokens(page)]) if template else ():
                     v = found.setdefault((hosts_[i], t), [0, 0, low, high])
                     v[0], v[1], v[2], v[3] = v[0] + n, v[1] + bad, min(v[2], low), max(v[3], high)
-        keys, values = list(found), list(found.values())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[j] for v in values], pa.int64()) for j in range(4)]], ["host", "token", "n", "bad", "low", "high"])
+                if len(found) > FLUSH:
+                    yield flush()
+        yield flush()
 
     seen = _with(known, draft).where("token is not null").mapInArrow(check, "host string, token long, n long, bad long, low long, high long")
-    seen = seen.groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("low").alias("low"), F.max("high").alias("high"))
+    seen = scratch.write(seen.groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("low").alias("low"), F.max("high").alias("high")), "seen")
     judged = draft.join(seen, ["host", "token"])
     good_root = judged.where((F.col("kind") == 0) & (F.col("bad") <= TOLERANCE * F.col("n")))
     nested = judged.where("kind <> 0").groupBy("host", "kind").agg(F.max((F.col("bad") > 0).cast("int")).alias("bad"), F.min("low").alias("low"), F.max("high").alias("high")).where("bad = 0 and low = high")

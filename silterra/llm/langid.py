@@ -16,7 +16,6 @@ language is null. Other columns are not touched. An empty table gives an empty r
 from __future__ import annotations
 
 import html as markup
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silterra.llm.markup import pieces
 from silterra.llm.textbytes import text_chunks
 from silterra.session import Scratch, prepare
 
@@ -40,8 +40,6 @@ for _b in range(256):
     if _b >= 0x80 or chr(_b).isalpha():
         _LETTER[_b] = ord(chr(_b).lower()) if _b < 0x80 else _b
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-
 
 @dataclass
 class LanguageModel:
@@ -90,7 +88,8 @@ def likelihoods(column: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.
 
 
 def visible(html: str) -> str:
-    return markup.unescape(HIDDEN.sub(" ", html))
+    """What a page shows: its text, with a space for each other piece."""
+    return markup.unescape("".join(m[0] if m.lastindex == 4 else " " for m in pieces(html, ("script", "style"))))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -180,12 +179,16 @@ def identify(texts: DataFrame, model: LanguageModel) -> DataFrame:
     return out.select("kind", "id", found.alias("lang"), F.round(1 / total, 6).alias("confidence")).to(texts.sparkSession.createDataFrame([], kinds).schema)
 
 
-_HTML_LANG = r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})"
+def _declared(html: str) -> Column:
+    """The ``lang`` of the first html tag; each step is linear in the page's length, also where the tag isn't closed."""
+    at = F.expr(f"locate('<html', lower({html}))")
+    tag = F.when(at > 0, F.substring_index(F.substring(F.col(html), at + 5, F.length(html)), ">", 1))
+    return F.regexp_extract(tag, r"(?is)^\W(?:.*\W)?lang\s*=\s*[\"']?([a-z]{2,3})", 1)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """What ``identify`` takes, of ``(page_id, url, html)``."""
-    said, host = F.regexp_extract("html", _HTML_LANG, 1), F.regexp_extract("url", r"^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)", 1)
+    said, host = _declared("html"), F.regexp_extract("url", r"^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)", 1)
     return pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"), F.lit(True).alias("is_html"), F.when(said != "", said).alias("declared"), F.when(host != "", host).alias("host"))
 
 

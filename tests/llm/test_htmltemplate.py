@@ -122,3 +122,39 @@ def test_rare_layouts_of_a_large_host_keep_their_template(spark):
             truth[i] = [body, author]
     got = ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: [s.text for s in r.slots] for r in got} == truth
+
+
+def test_unclosed_marks_take_linear_time():
+    import time
+
+    from silterra.llm.langid import visible
+
+    for bit in ("<a ", "<!--", "<script>", "<b><!-- <script>", "<!-- >", "</script>" + "<script "):
+        page = "<p>x</p><!-- y -->" + bit * (1_000_000 // len(bit))
+        began = time.process_time()
+        ht.tokens(page)
+        visible(page)
+        assert time.process_time() - began < 4, bit
+
+
+def test_pieces_are_those_of_one_regular_expression():
+    from silterra.llm.markup import pieces
+
+    one = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<(/?[a-zA-Z][^\s>/]*)([^>]*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+    bits = ["<!--", "-->", "<script>", "</script >", "<style a>", "</STYLE>", "<a href=x>", "<b", "text &amp; more", "<", ">", "</p>", "<!doctype html>", "<template>", "<noscript>", "</noscript>", "  ", "<?x"]
+    rng = np.random.default_rng(5)
+    for _ in range(4000):
+        page = "".join(rng.choice(bits, rng.integers(0, 14)))
+        end = page.rfind(">") + 1
+        want = [m.span() for m in one.finditer(page) if m.start() < end]
+        rest = want[-1][1] if want else 0
+        want += [(rest, len(page))] * (rest < len(page))
+        assert [m.span() for m in pieces(page)] == want
+
+
+def test_pages_joined_with_templates_by_host_have_the_same_slots(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = lambda: sorted(ht.extract(pages).collect(), key=lambda r: r.page_id)
+    want = rows()
+    monkeypatch.setattr(ht, "BROADCAST_TOKENS", 0)
+    assert rows() == want

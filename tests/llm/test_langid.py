@@ -117,3 +117,10 @@ def test_the_sample_is_bounded(spark):
     finally:
         li.fit = kept
     assert sizes == [{"aa": 50, "bb": 50}]
+
+
+def test_declared_language_of_odd_tags(spark):
+    cases = ["<HTML lang='fr'>", "<html xml:lang=en lang=\"de-AT\">", "<html>lang=es", None, "", "<html " * 1000, "<p>no</p>", "<htmlx lang=de>", "<html\n class='x'\nLANG = es >"]
+    frame = spark.createDataFrame([(i, "http://x.org/", h) for i, h in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.id: r.declared for r in li.page_texts(frame).collect()}
+    assert [got[i] for i in range(len(cases))] == ["fr", "de", None, None, None, None, None, None, "es"]
