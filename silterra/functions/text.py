@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import functools
 import os
+import warnings
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,11 +81,6 @@ def hash31(text: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(PRIME))
 
 
-def fast_hash31(text: Column) -> Column:
-    """As ``hash31``, but by a hash that is cheaper and Spark's own."""
-    return F.pmod(F.xxhash64(text), F.lit(PRIME))
-
-
 #: The vocabulary file of each byte-pair tokenizer, and the pattern it splits text by (None: that of the folder's module).
 BYTE_PAIRS: dict[str, tuple[str, str | None]] = {
     "bpe": ("byte_bpe_50k.tiktoken", None),
@@ -92,27 +89,150 @@ BYTE_PAIRS: dict[str, tuple[str, str | None]] = {
 }
 
 
-def byte_pairs(text: Column, tokenizer: str, folder: str | None) -> Column:
-    """Byte-pair ids of the cleaned text as strings; an error if the tokenizer's vocabulary isn't in the folder."""
+def _vocabulary(tokenizer: str, folder: str | None) -> tuple[str, str, str | None]:
+    """``(folder, file, pattern)`` of a byte-pair tokenizer; an error if its vocabulary isn't in the folder."""
     file, pattern = BYTE_PAIRS[tokenizer]
     if folder is None or not os.path.isfile(f"{folder}/{file}"):
         raise ValueError(f"tokenizer {tokenizer} needs the vocabulary {file}; the folder given by the setting vocabulary ({folder}) hasn't got it")
+    return folder, file, pattern
+
+
+def cutter(tokenizer: str, vocabulary: str | None = None) -> Callable[[str], list[str]] | None:
+    """What makes byte pairs, as numbers, of a cleaned text; None for other tokenizers."""
+    if tokenizer not in BYTE_PAIRS:
+        return None
+    where = _vocabulary(tokenizer, vocabulary)
+    return lambda text: [str(x) for x in bpe_encoding(*where).encode_ordinary(text)]
+
+
+def byte_pairs(text: Column, tokenizer: str, folder: str | None) -> Column:
+    """Byte-pair ids of the cleaned text as strings."""
+    cut = cutter(tokenizer, folder)
+    assert cut is not None
 
     @F.arrow_udf(returnType=ArrayType(StringType()))
     def ids(texts: pa.Array) -> pa.Array:
-        coder = bpe_encoding(folder, file, pattern)
-        return pa.array([None if t is None else [str(x) for x in coder.encode_ordinary(t)] for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([None if t is None else cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return ids(clean(text))
 
 
 def tokens(text: Column, tokenizer: str, vocabulary: str | None = None) -> Column:
-    """Tokens of a raw text. ``uniseg`` gives Unicode's words, names in ``BYTE_PAIRS`` byte pairs by the folder ``vocabulary``, any other name the bytes."""
+    """Tokens of a raw text. ``uniseg`` gives Unicode's words, names in ``BYTE_PAIRS`` byte pairs by the folder ``vocabulary``, any other name the bytes.
+
+    A name that is none of these and not ``bytes`` is warned about.
+    """
+    if tokenizer not in ("uniseg", "bytes", *BYTE_PAIRS):
+        warnings.warn(f"no tokenizer is named {tokenizer}: bytes are taken", stacklevel=2)
     if tokenizer in BYTE_PAIRS:
         return byte_pairs(text, tokenizer, vocabulary)
     return segments(text) if tokenizer == "uniseg" else F.transform(utf8_bytes(clean(text)), lambda b: b.cast("string"))
 
 
+def with_tokens(docs: DataFrame, column: str, tokenizer: str, vocabulary: str | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(keys, tokens, whole)`` for ``token_bounds``: tokens where the JVM makes them, else the text."""
+    if tokenizer == "uniseg":
+        return docs.select(*keys, F.lit(None).cast("array<string>").alias("tokens"), F.col(column).alias("whole"))
+    if tokenizer in BYTE_PAIRS:
+        return docs.select(*keys, F.lit(None).cast("array<string>").alias("tokens"), clean(F.col(column)).alias("whole"))
+    return docs.select(*keys, tokens(F.col(column), tokenizer, vocabulary).alias("tokens"), F.lit(None).cast("string").alias("whole"))
+
+
+#: Characters whose texts are cut at a time in a task.
+PIECE = 1 << 18
+_PUNCTUATION, _WHITE, _WORD, _OTHER, _IS_PLAIN = 0, 1, 2, 3, 4
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Of each code point what ``clean`` and ``words`` take it for, and whether it is ``PLAIN``."""
+    import regex
+
+    out = np.full(0x110000, _OTHER, np.uint8)
+    for what, pattern in ((_WORD, r"[\p{L}\p{N}\p{M}]"), (_WHITE, r"\p{White_Space}"), (_PUNCTUATION, r"[!-/:-@\[-`{-~]")):
+        some = regex.compile(pattern)
+        for low in range(0, 0x110000, 0x10000):
+            block = "".join(map(chr, range(low, low + 0x10000)))
+            out[[low + m.start() for m in some.finditer(block)]] = what
+    plain = regex.compile(f"[{PLAIN}]")
+    out[[m.start() for m in plain.finditer("".join(map(chr, range(0x10000))))]] |= _IS_PLAIN
+    return out
+
+
+def _cut(texts: list[str]) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray]:
+    """``(bytes, start, end, first)`` of the tokens of ``segments`` of all texts: bounds in bytes, and the first token of each text."""
+    low = [t.lower() for t in texts]
+    c = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in low])
+    kind = _classes()[c]
+    kept = kind & 3 != _PUNCTUATION
+    c, doc, kind = c[kept], doc[kept], kind[kept]
+    full = np.flatnonzero(kind & 3 != _WHITE)
+    white = np.flatnonzero(kind & 3 == _WHITE)
+    after = np.searchsorted(full, white)
+    # Of a run of white space between two words of a text the first is kept.
+    good = (after > 0) & (after < len(full))
+    white, after = white[good], after[good]
+    good = (full[after - 1] == white - 1) & (doc[full[after - 1]] == doc[white]) & (doc[full[after]] == doc[white])
+    at = np.sort(np.append(full, white[good]))
+    c, doc, kind = c[at], doc[at], kind[at]
+    c = np.where(kind & 3 == _WHITE, 32, c)
+    word = kind & 3 == _WORD
+    start = ~word
+    start[:1] = True
+    start[1:] |= word[1:] & (~word[:-1] | (doc[1:] != doc[:-1]))
+    begin = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for k in np.unique(doc[(kind & _IS_PLAIN) == 0]):
+        cut = boundary_cut(c[begin[k] : begin[k + 1]].tobytes().decode("utf-32-le"))
+        start[begin[k] : begin[k + 1]] = False
+        start[begin[k] + np.append(0, np.cumsum([len(x) for x in cut])[:-1])] = True
+    number = np.cumsum(start)
+    place = np.arange(len(c)) + number - 1
+    out = np.full(len(c) + (number[-1] if len(c) else 0), ord(SEPARATOR), np.uint32)
+    out[place] = c
+    size = 1 + (out >= 0x80) + (out >= 0x800) + (out >= 0x10000)
+    byte = np.append(0, np.cumsum(size))
+    first = place[start]
+    first_of = np.append(number, number[-1] if len(c) else 0)[begin] - 1 if len(c) else np.zeros(len(texts) + 1, np.int64)
+    if len(c):
+        first_of[begin >= len(c)] = number[-1]
+    ends = np.append(first[1:] - 1, len(out) - 1) if len(first) else first
+    return memoryview(out.astype(np.uint32).tobytes().decode("utf-32-le").encode()), byte[first], byte[ends], first_of
+
+
+def _list_bounds(column: pa.ListArray) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_cut`` gives it, of lists of tokens."""
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = pa.concat_arrays([column.flatten()])
+    _, where, data = flat.buffers()
+    o = np.frombuffer(where, np.int32)[: len(flat) + 1].astype(np.int64) if len(flat) else np.zeros(1, np.int64)
+    size = np.diff(o)
+    out = np.full(int(size.sum()) + len(flat), ord(SEPARATOR), np.uint8)
+    if len(out):
+        out[np.arange(int(size.sum())) + np.repeat(np.arange(len(flat)), size)] = np.frombuffer(data, np.uint8)[: o[-1]] if data is not None else 0
+    start = np.cumsum(size) - size + np.arange(len(flat))
+    return memoryview(out), start, start + size, np.append(0, np.cumsum(n))
+
+
+def token_bounds(b: pa.RecordBatch, cut: Callable[[str], list[str]] | None) -> Iterator[tuple[pa.RecordBatch, memoryview, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(keys, bytes, start, end, first)`` of a batch of ``with_tokens``, by pieces of texts: the tokens' bounds in bytes, which has a separator after each
+    token, and each text's first token. cut is what makes tokens of the text; without it they are Unicode's words of the cleaned text."""
+    keys, n = b.select(list(range(b.num_columns - 2))), b.num_columns
+    text = b.column(n - 1)
+    if text.null_count == len(b):
+        for i in range(0, len(b), 256):
+            yield keys.slice(i, 256), *_list_bounds(b.column(n - 2).slice(i, 256))
+        return
+    texts = [t or "" for t in text.to_pylist()]
+    size = np.append(0, np.cumsum([len(t) for t in texts]))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(size, size[i] + PIECE, "right")) - 1)
+        part = texts[i:j]
+        yield keys.slice(i, j - i), *(_cut(part) if cut is None else _list_bounds(pa.array([cut(t) for t in part], pa.list_(pa.string()))))
+        i = j
+
+
 def uniseg_tokens(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, tokens)`` by Unicode's word boundaries (UAX 29), with scripts that ``words`` cuts otherwise. White space makes tokens too."""
 

@@ -101,4 +101,4 @@ def connected_components(edges: DataFrame, piece: int = PIECE) -> DataFrame:
         now = scratch.write(_forest(_small_star(large, scratch, f"small-{turn}"), piece), f"edges-{turn}")
         for done in (f"edges-{turn - 1}", f"large-{turn}", f"between-{turn}", f"small-{turn}"):
             scratch.drop(done)
-    return now.select(F.col("u").alias("doc_id"), F.col("v").alias("cc_id")).union(now.select("v", "v").distinct())
+    return now.select(F.col("u").alias("doc_id"), F.col("v").alias("cc_id")).union(now.select(F.col("v").alias("doc_id"), F.col("v").alias("cc_id")).distinct())

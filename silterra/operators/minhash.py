@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from silterra.operators.skew import group_join
 from silterra.session import Scratch, prepare
 
 #: Residues that are permuted at a time.
-PIECE = 1 << 16
+PIECE = 1 << 14
 
 
 def permutations(config: MinHashConfig) -> list[tuple[int, int]]:
@@ -26,41 +27,70 @@ def permutations(config: MinHashConfig) -> list[tuple[int, int]]:
     return [(rng.randrange(1, T.PRIME), rng.randrange(T.PRIME)) for _ in range(config.num_bands * config.band_size)]
 
 
-def residues(docs: DataFrame, config: MinHashConfig) -> DataFrame:
-    """``(doc_id, x)``: a hash of each distinct shingle. A document without text (null) has no row."""
-    one = T.hash31 if config.portable else T.fast_hash31
-    found = T.shingles(T.tokens(F.col(config.content_key), config.tokenizer, config.vocabulary), config.ngram_size, distinct=config.portable)
-    return docs.where(F.col(config.content_key).isNotNull()).select("doc_id", F.transform(found, one).alias("x"))
-
-
-def mersenne(v: np.ndarray) -> np.ndarray:
-    """v mod 2**31 - 1, for v below 2**62."""
-    v = (v & T.PRIME) + (v >> 31)
-    v = (v & T.PRIME) + (v >> 31)
-    return np.where(v == T.PRIME, 0, v)
+def residues(starts: np.ndarray, ends: np.ndarray, raw: memoryview, portable: bool) -> np.ndarray:
+    """A hash below ``PRIME`` of each piece of raw: the first 32 bits of its MD5, which other engines have too, or of a cheaper hash."""
+    if portable:
+        md5 = hashlib.md5
+        x = np.frombuffer(b"".join([md5(raw[a:z]).digest()[:4] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]), ">u4")
+    else:
+        import xxhash
+
+        x = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return x.astype(np.uint64) % np.uint64(T.PRIME)
+
+
+def shingle_bounds(start: np.ndarray, end: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(first shingle of each text, start, end)`` of every run of n tokens, from the bounds of ``token_bounds``; see ``functions.text.shingles``."""
+    tokens = np.diff(at)
+    runs = np.maximum(1, tokens - (n - 1))
+    first = np.append(0, np.cumsum(runs))
+    low = np.repeat(at[:-1] - first[:-1], runs) + np.arange(first[-1])
+    high = np.minimum(low + n, np.repeat(at[1:], runs)) - 1
+    # A text without tokens has one shingle, of nothing.
+    some = np.repeat(tokens > 0, runs)
+    low, high = np.where(some, low, len(start)), np.where(some, high, len(start))
+    return first, np.append(start, 0)[low], np.append(end, 0)[high]
+
+
+def least_permuted(x: np.ndarray, starts: np.ndarray, ab: list[tuple[int, int]], out: np.ndarray) -> None:
+    """Into out, for each run of x and each (a, b), the least of ``(a * x + b) mod PRIME``."""
+    v, w, p = np.empty(len(x), np.uint64), np.empty(len(x), np.uint64), np.uint64(T.PRIME)
+    for k, (a, b) in enumerate(ab):
+        np.multiply(x, np.uint64(a), out=v)
+        v += np.uint64(b)
+        np.right_shift(v, np.uint64(31), out=w)
+        v &= p
+        v += w  # below twice the prime, as a * x + b is below its square
+        np.subtract(v, p, out=w)  # a smaller v becomes a large number
+        np.minimum(v, w, out=v)
+        out[:, k] = np.minimum.reduceat(v, starts)
 
 
 def minhash_vectors(docs: DataFrame, config: MinHashConfig) -> DataFrame:
-    """``(doc_id, h)``: the least permuted hash of each document, for each permutation."""
+    """``(doc_id, h)``: the least permuted hash of each document's shingles, for each permutation. A document without text (null) has no row.
+
+    Texts are cut many at once; tokens and shingles exist only as bounds in their bytes.
+    """
     ab = permutations(config)
+    n, cut = max(1, config.ngram_size), T.cutter(config.tokenizer, config.vocabulary)
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(1).offsets.to_numpy().astype(np.int64)
-            x = b.column(1).values.to_numpy(zero_copy_only=False)
-            out = np.empty((len(b), len(ab)), np.int64)
-            i = 0
-            while i < len(b):
-                j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
-                part, starts = x[at[i] : at[j]], at[i:j] - at[i]
-                for k, (p, q) in enumerate(ab):
-                    out[i:j, k] = np.minimum.reduceat(mersenne(part * p + q), starts)
-                i = j
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * len(ab)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "h"])
-
-    return residues(docs, config).mapInArrow(run, "doc_id long, h array<long>")
+        for whole in batches:
+            for b, raw, *bounds in T.token_bounds(whole, cut):
+                first, low, high = shingle_bounds(*bounds, n)
+                out = np.empty((len(b), len(ab)), np.int64)
+                i = 0
+                while i < len(b):
+                    j = max(i + 1, int(np.searchsorted(first, first[i] + PIECE, "right")) - 1)
+                    part = residues(low[first[i] : first[j]], high[first[i] : first[j]], raw, config.portable)
+                    least_permuted(part, first[i:j] - first[i], ab, out[i:j])
+                    i = j
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * len(ab)), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "h"])
+
+    text = docs.where(F.col(config.content_key).isNotNull())
+    return T.with_tokens(text, config.content_key, config.tokenizer, config.vocabulary).mapInArrow(run, "doc_id long, h array<long>")
 
 
 def band_signatures(vectors: DataFrame, config: MinHashConfig) -> DataFrame:

@@ -6,6 +6,10 @@ size of the table; all other groups are small beside a task's share of a shuffle
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +61,38 @@ def ranked(rows: DataFrame, key: str, id_: str = "doc_id") -> DataFrame:
     return placed.select(id_, key, F.coalesce("first", "least").alias("cc_id"), F.coalesce("size", "n").alias("cc_size"), index.cast("long").alias("cc_idx"))
 
 
+def by_runs(rows: DataFrame, keys: list[str], use: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``use`` makes of the rows of equal keys: it gets a table of whole groups, each in one run, and where the runs start.
+
+    A group is held in memory as a whole, so the keys have to bound it; small groups come many at a time.
+    """
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        new[:1] = True
+        for k in keys:
+            v = t[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            t = pa.Table.from_batches(held)
+            at = starts(t)
+            if len(at) > 1:
+                yield from use(t.slice(0, at[-1]).combine_chunks(), at[:-1])
+                held = t.slice(at[-1]).combine_chunks().to_batches()
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from use(t, starts(t))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def free_name(docs: DataFrame) -> str:
     """The beginning of names that no column of docs has."""
     free = "__"

@@ -65,10 +65,12 @@ components AS (SELECT doc_id, min(r) AS cc_id FROM reach GROUP BY doc_id)"""
         "fuzzy_annotate": f"{annotated} SELECT * FROM annotated",
         "fuzzy_metrics": f"{annotated} {metrics.format(g='annotated')}",
         "true_jaccard": f"""{components}, sets AS (SELECT DISTINCT cc_id, doc_id, unnest(g) AS s FROM components JOIN grams USING (doc_id)),
-sizes AS (SELECT cc_id, doc_id, count(*) AS n FROM sets GROUP BY cc_id, doc_id),
-common AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n_inter FROM sets a JOIN sets b ON a.cc_id = b.cc_id AND a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
+sizes AS (SELECT *, min(doc_id) OVER (PARTITION BY cc_id, h) AS rep FROM (SELECT cc_id, doc_id, count(*) AS n, md5(string_agg(s, chr(30) ORDER BY s)) AS h FROM sets GROUP BY cc_id, doc_id)),
+reps AS (SELECT * FROM sizes WHERE doc_id = rep), of_reps AS (SELECT sets.* FROM sets JOIN reps USING (doc_id)),
+common AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n_inter FROM of_reps a JOIN of_reps b ON a.cc_id = b.cc_id AND a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
 SELECT x.cc_id, x.doc_id AS doc_a, y.doc_id AS doc_b, coalesce(n_inter, 0) AS n_inter, x.n + y.n - coalesce(n_inter, 0) AS n_union, round(coalesce(n_inter, 0) / (x.n + y.n - coalesce(n_inter, 0))::DOUBLE, 6) AS jaccard
-FROM sizes x JOIN sizes y ON x.cc_id = y.cc_id AND x.doc_id < y.doc_id LEFT JOIN common ON doc_a = x.doc_id AND doc_b = y.doc_id""",
+FROM reps x JOIN reps y ON x.cc_id = y.cc_id AND x.doc_id < y.doc_id LEFT JOIN common ON doc_a = x.doc_id AND doc_b = y.doc_id
+UNION ALL SELECT cc_id, rep, doc_id, n, n, 1.0 FROM sizes WHERE doc_id <> rep""",
         "dup_aware_subsample": f"SELECT doc_id, cc_id FROM ({groups}) WHERE cc_size <= {max_size} AND (('0x' || substr(md5('{seed}:' || cc_id), 1, 8))::BIGINT) % {PRIME} < {rate * PRIME}",
         "concat_group": f"WITH turns AS ({turns}) {joined.format(runs=runs.format(k='conv_id'))}",
         "concat_prune": f"""WITH turns AS ({turns}), grouped AS ({joined.format(runs=runs.format(k='role'))}),

@@ -94,4 +94,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder. One that is read by fewer tasks than the session can run is spread over as many, so only tables that small are moved."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,11 +52,41 @@ def test_bpe_round_trip(spark, sf):
     assert all((coder.decode(t) if t is not None else None) == cleaned[i] for i, t in got.items()) and got[-2] is None
 
 
+def test_byte_pairs_equal_merging_by_rank(spark, sf):
+    """Brute force: of neighbouring pieces the pair of the least rank is merged until no pair has one."""
+    import base64
+    import sys
+
+    import regex
+
+    sys.path.append("/opt/tokenizers")
+    import public_tokenizers
+
+    with open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines)}
+
+    def encode(text):
+        out = []
+        for word in regex.findall(public_tokenizers.PATTERN, text):
+            parts = [bytes([b]) for b in word.encode()]
+            while len(parts) > 1:
+                rank, k = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
+                if rank == 1 << 40:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            out += [ranks[p] for p in parts]
+        return out
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    cleaned = {r.doc_id: r.c for r in docs.select("doc_id", T.clean(F.col("text")).alias("c")).collect()}
+    got = {r.doc_id: r.tokens for r in T.bpe_tokens(docs, "/opt/tokenizers").collect()}
+    assert len(got) == 200 and got == {i: encode(c) for i, c in cleaned.items()}
+
+
 def test_hashes(spark):
     import hashlib
 
     assert one(spark, "x", T.hash31) == int(hashlib.md5(b"x").hexdigest()[:8], 16) % T.PRIME
-    assert 0 <= one(spark, "x", T.fast_hash31) < T.PRIME
 
 
 def test_words_are_unicodes_where_the_regex_is_used(spark):
@@ -73,3 +104,12 @@ def test_words_are_unicodes_where_the_regex_is_used(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     both = T.uniseg_tokens(docs).withColumnRenamed("tokens", "want").join(docs.select("doc_id", T.tokens(F.col("text"), "uniseg").alias("got")), "doc_id")
     assert both.where("not (want <=> got)").count() == 0 and both.count() == len(rows)
+    odd = ["", " ", "...", "a", " \u2003Ab, c--d\u0085 \x1c e! ", "ΟΔΟΣ Σ ΣΑΣ.", "İX ǅ", "l’été d’or", "e\u0301 \u0301x", "这是 一个。", "x" * 70_000, "👩‍👩‍👧 🇩🇪🇫🇷", "a\U0001d400b"]
+    rows = list(enumerate([*texts[::29], *odd, *[" ".join(rng.choice([*plain, "\t", "ß", "\u00a0", "\u3000", "字", "."]) for _ in range(60)) for _ in range(200)]]))
+    want = {r.doc_id: r.t for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", T.tokens(F.col("text"), "uniseg").alias("t")).collect()}
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.nulls(len(rows), pa.list_(pa.string())), pa.array([t for _, t in rows])], ["doc_id", "tokens", "text"])
+    got = {}
+    for keys, raw, start, end, first in T.token_bounds(batch, None):
+        for k, i in enumerate(keys.column(0).to_pylist()):
+            got[i] = [bytes(raw[a:z]).decode() for a, z in zip(start[first[k] : first[k + 1]], end[first[k] : first[k + 1]])]
+    assert got == want
