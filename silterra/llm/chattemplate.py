@@ -6,15 +6,18 @@ template renders a list of messages to a text and the character spans that ``{%
 
 The language: ``{{ expression }}``, ``{# comment #}``, ``{% if %}`` with ``elif`` and ``else``, ``{% for x in list %}`` with ``else`` and
 ``loop.index``, ``index0``, ``first``, ``last``, ``length``, ``previtem``, ``nextitem``, ``{% set x = expression %}``, ``{% generation %}``, and
-a minus sign in a tag to strip white space beside it. Expressions have strings, numbers, lists, ``true``, ``false``, ``none``,
-``or and not``, comparisons, ``in``, ``is [not] defined / none / string``, ``+ - * / // %``, ``~``, ``x if c else y``, ``a.key``, ``a[key]``,
-slices with constants and the filters of ``FILTERS``. The sandbox: names are the variables given, keys are those of mappings and lists, numbers alone
-are multiplied, and there are no calls, so a template can't reach Python's objects, run for ever or blow a string up. A ``set`` within a loop
-lasts for one turn; ``raise`` is unknown, so a template can't stop a job.
+a minus sign in a tag to strip white space beside it, ``{% macro f(x, y='z') %}`` and ``{% set ns.x = expression %}`` of a ``namespace(x=1)``, which is how a
+``set`` within a loop lasts longer than its turn. Expressions have strings, numbers, lists, ``true``, ``false``, ``none``,
+``or and not``, comparisons, ``in``, ``is [not]`` the tests of ``_TESTS``, ``+ - * / // %``, ``~``, ``x if c else y``, ``a.key``, ``a[key]``,
+slices, the filters of ``FILTERS``, the methods of ``METHODS`` and calls of ``namespace``, ``dict``, ``raise_exception`` and macros.
+The sandbox: names are the variables given, keys are those of mappings and lists, numbers alone are multiplied, strings end at ``LONGEST`` characters, what can be
+called is that closed list, and a macro knows only those before it, so a template can't reach Python's objects, run for ever or blow a string up.
+Generation blocks within macros have no spans. With ``blocks`` a statement tag's line break and the white space before it on its line are dropped.
 
 Defined results for rows: a conversation is the rows of one ``conv_id``, null ones being one conversation too, in order of ``turn`` (nulls
-first), then role and text; repeated rows are repeated turns. A null role or text renders as an empty text. An unknown name or key is undefined:
-it renders as nothing and counts as false. Other columns are not touched. An empty table has no conversations.
+first), then role and text; repeated rows are repeated turns. A message has ``role``, ``text`` and the same as ``content``; null ones are empty. An unknown name or key
+is undefined: it renders as nothing and counts as false. A conversation for which the template calls ``raise_exception``, or that gets too long, renders as null without
+spans and stops no job. Other columns are not touched. An empty table has no conversations.
 """
 
 from __future__ import annotations
@@ -37,10 +40,26 @@ CHATML = (
 )
 
 
+#: Characters of a string at most.
+LONGEST = 1 << 26
+
+
 class TemplateError(ValueError):
     pass
 
 
+class RenderError(TemplateError):
+    """Of one conversation, not of the template."""
+
+
+def _fail(*message: Any) -> Any:
+    raise RenderError(" ".join(map(_text, message)))
+
+
+class Namespace(dict):
+    """What ``{% set ns.x = y %}`` may change."""
+
+
 class Undefined:
     def __bool__(self) -> bool:
         return False
@@ -60,6 +79,43 @@ def _length(x: Any) -> int:
     return len(x) if isinstance(x, (str, list, dict)) else 0
 
 
+def _items(x: Any) -> list:
+    return x if isinstance(x, list) else []
+
+
+def _attribute(x: Any, key: Any, test: Any, value: Any) -> bool:
+    mine = _get(x, key)
+    if test in _TESTS:
+        return _TESTS[test](mine)
+    if test in ("equalto", "eq", "=="):
+        return mine == value
+    return bool(_binary("in", mine, value)) if test == "in" else mine != value if test in ("ne", "!=") else bool(mine)
+
+
+def _split(x: str, by: Any = None, most: Any = -1) -> list:
+    return x.split(by or None, most if isinstance(most, int) else -1) if by is None or isinstance(by, str) else [x]
+
+
+#: By the type of what has the method.
+METHODS: dict[str, tuple[type, Callable[..., Any]]] = {
+    "startswith": (str, lambda x, y: x.startswith(_text(y))),
+    "endswith": (str, lambda x, y: x.endswith(_text(y))),
+    "strip": (str, lambda x, y=None: x.strip(y if isinstance(y, str) else None)),
+    "lstrip": (str, lambda x, y=None: x.lstrip(y if isinstance(y, str) else None)),
+    "rstrip": (str, lambda x, y=None: x.rstrip(y if isinstance(y, str) else None)),
+    "upper": (str, lambda x: x.upper()),
+    "lower": (str, lambda x: x.lower()),
+    "title": (str, lambda x: x.title()),
+    "capitalize": (str, lambda x: x.capitalize()),
+    "split": (str, _split),
+    "replace": (str, lambda x, old, new: FILTERS["replace"](x, old, new)),
+    "items": (dict, lambda x: [list(p) for p in x.items()]),
+    "keys": (dict, lambda x: list(x)),
+    "values": (dict, lambda x: list(x.values())),
+    "get": (dict, lambda x, key, other=None: _get(x, key) if _get(x, key) is not UNDEFINED else other),
+}
+
+
 FILTERS: dict[str, Callable[..., Any]] = {
     "trim": lambda x: _text(x).strip(),
     "upper": lambda x: _text(x).upper(),
@@ -72,6 +128,9 @@ FILTERS: dict[str, Callable[..., Any]] = {
     "default": lambda x, other="": other if x is UNDEFINED else x,
     "join": lambda x, by="": _text(by).join(map(_text, x)) if isinstance(x, (str, list)) else "",
     "replace": lambda x, old, new: _text(x).replace(_text(old), _text(new)) if _text(old) else _text(x),
+    "list": lambda x: list(x) if isinstance(x, (list, str, dict)) else [],
+    "selectattr": lambda x, key, test="true", value=None: [m for m in _items(x) if _attribute(m, key, test, value)],
+    "rejectattr": lambda x, key, test="true", value=None: [m for m in _items(x) if not _attribute(m, key, test, value)],
     "tojson": lambda x: json.dumps(None if x is UNDEFINED else x, ensure_ascii=False),
 }
 
@@ -95,7 +154,7 @@ class If:
 
 @dataclass
 class For:
-    name: str
+    names: list[str]
     over: tuple
     body: list
     other: list = field(default_factory=list)
@@ -105,6 +164,14 @@ class For:
 class Set:
     name: str
     value: tuple
+    key: str | None = None
+
+
+@dataclass
+class Macro:
+    name: str
+    parameters: list[tuple[str, tuple]]
+    body: list
 
 
 @dataclass
@@ -257,9 +324,31 @@ class _Expression:
                         if not self.peek(")"):
                             self.need(",")
                 value = ("filter", name, value, *arguments)
+            elif self.take("("):
+                positional, named = self.arguments()
+                if value[0] == "name":
+                    value = ("call", value[1], list(named), *positional, *named.values())
+                elif value[0] == "get" and value[2][0] == "const" and value[2][1] in METHODS and not named:
+                    value = ("method", value[2][1], value[1], *positional)
+                else:
+                    raise TemplateError("only functions and methods of the language can be called")
             else:
                 return value
 
+    def arguments(self) -> tuple[list[tuple], dict[str, tuple]]:
+        positional: list[tuple] = []
+        named: dict[str, tuple] = {}
+        while not self.take(")"):
+            if self.at + 1 < len(self.tokens) and self.tokens[self.at][0] == "name" and self.tokens[self.at + 1] == ("sign", "="):
+                name = self.name()
+                self.at += 1
+                named[name] = self.expression()
+            else:
+                positional.append(self.expression())
+            if not self.peek(")"):
+                self.need(",")
+        return positional, named
+
     def atom(self) -> tuple:
         if self.take("("):
             value = self.expression()
@@ -290,29 +379,37 @@ _TESTS: dict[str, Callable[[Any], bool]] = {
     "string": lambda x: isinstance(x, str),
     "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool),
     "mapping": lambda x: isinstance(x, dict),
+    "iterable": lambda x: isinstance(x, (str, list, dict)),
+    "sequence": lambda x: isinstance(x, (str, list, dict)),
+    "boolean": lambda x: isinstance(x, bool),
+    "true": lambda x: x is True,
+    "false": lambda x: x is False,
 }
 
 
-def _pieces(source: str) -> Iterator[tuple[str, str]]:
-    """``(kind, content)`` of text, output and statement tags, white space stripped where a tag says so."""
-    at, strip = 0, False
+def _pieces(source: str, blocks: bool) -> Iterator[tuple[str, str]]:
+    """``(kind, content)`` of text, output and statement tags, white space stripped where a tag or ``blocks`` says so."""
+    at, strip, drop = 0, False, False
     for m in _TAG.finditer(source):
         tag, text = m[0], source[at : m.start()]
-        text = text.lstrip() if strip else text
+        text = text.lstrip() if strip else text.removeprefix("\n") if drop else text
+        if blocks and tag[1] != "{" and (at == 0 or "\n" in source[at : m.start()] or drop):
+            line = text.rpartition("\n")
+            text = line[0] + line[1] if not line[2].strip(" \t") else text
         yield "text", text.rstrip() if tag[2] == "-" else text
-        strip, at = tag[-3] == "-" and tag[1] != "#", m.end()
+        strip, at, drop = tag[-3] == "-" and tag[1] != "#", m.end(), blocks and tag[1] != "{"
         if tag[1] != "#":
             yield ("output" if tag[1] == "{" else "tag"), tag[3 if tag[2] == "-" else 2 : -3 if tag[-3] == "-" else -2].strip()
-    rest = source[at:].lstrip() if strip else source[at:]
+    rest = source[at:].lstrip() if strip else source[at:].removeprefix("\n") if drop else source[at:]
     if re.search(r"\{[%{#]", rest):
         raise TemplateError("a tag isn't closed")
     yield "text", rest
 
 
-def parse(source: str) -> list:
+def parse(source: str, blocks: bool = False) -> list:
     root: list = []
     open_: list[tuple[str, Any, list]] = [("", None, root)]
-    for kind, content in _pieces(source):
+    for kind, content in _pieces(source, blocks):
         body = open_[-1][2]
         if kind == "text":
             if content:
@@ -335,21 +432,36 @@ def parse(source: str) -> list:
             open_.append((kind_ + " else", node, node.other))
         elif word == "for":
             e = _Expression(rest)
-            name = e.name()
+            names = [e.name()]
+            while e.take(","):
+                names.append(e.name())
             e.need("in")
-            node = For(name, e.whole(), [])
+            node = For(names, e.whole(), [])
             body.append(node)
             open_.append(("for", node, node.body))
         elif word == "set":
             e = _Expression(rest)
             name = e.name()
+            key = e.name() if e.take(".") else None
             e.need("=")
-            body.append(Set(name, e.whole()))
+            body.append(Set(name, e.whole(), key))
+        elif word == "macro":
+            e = _Expression(rest)
+            name, parameters = e.name(), []
+            e.need("(")
+            while not e.take(")"):
+                parameters.append((e.name(), e.expression() if e.take("=") else ("const", UNDEFINED)))
+                if not e.peek(")"):
+                    e.need(",")
+            e.end()
+            node = Macro(name, parameters, [])
+            body.append(node)
+            open_.append(("macro", node, node.body))
         elif word == "generation" and not rest:
             node = Generation([])
             body.append(node)
             open_.append(("generation", node, node.body))
-        elif content in ("endif", "endfor", "endgeneration") and open_[-1][0].split(" ")[0] == word[3:]:
+        elif content in ("endif", "endfor", "endgeneration", "endmacro") and open_[-1][0].split(" ")[0] == word[3:]:
             open_.pop()
         else:
             raise TemplateError(f"unexpected {{% {content} %}}")
@@ -362,9 +474,15 @@ def _number(x: Any) -> bool:
     return isinstance(x, (int, float))
 
 
+def _joined(a: Any, b: Any) -> Any:
+    if len(a) + len(b) > LONGEST:
+        raise RenderError("a string is too long")
+    return a + b
+
+
 def _binary(sign: str, a: Any, b: Any) -> Any:
     if sign == "~":
-        return _text(a) + _text(b)
+        return _joined(_text(a), _text(b))
     if sign == "==":
         return a == b
     if sign == "!=":
@@ -372,7 +490,7 @@ def _binary(sign: str, a: Any, b: Any) -> Any:
     if sign == "in":
         return _text(a) in b if isinstance(b, str) else a in b if isinstance(b, (list, dict)) and not isinstance(a, (list, dict)) else False
     if sign == "+" and isinstance(a, str) and isinstance(b, str) or sign == "+" and isinstance(a, list) and isinstance(b, list):
-        return a + b
+        return _joined(a, b)
     if sign in ("<", ">", "<=", ">="):
         if not (_number(a) and _number(b) or isinstance(a, str) and isinstance(b, str)):
             return False
@@ -398,6 +516,23 @@ def _slice(x: Any, a: Any, b: Any) -> Any:
 
 
 Scope = dict[str, Any]
+_FUNCTIONS: dict[str, Callable[..., Any]] = {"namespace": lambda **x: Namespace(x), "dict": lambda **x: x, "raise_exception": _fail}
+
+
+class _Made:
+    """A macro with the names known where it was made."""
+
+    def __init__(self, parameters: list[tuple[str, Callable]], body: Callable, scope: Scope):
+        self.parameters, self.body, self.scope = parameters, body, dict(scope)
+
+    def __call__(self, *given: Any, **named: Any) -> str:
+        names = [n for n, _ in self.parameters]
+        if len(given) > len(names) or not named.keys() <= {*names[len(given) :]}:
+            raise TypeError
+        values = dict(zip(names, given)) | named
+        out = _Out()
+        self.body(self.scope | {n: values[n] if n in values else default(self.scope) for n, default in self.parameters}, out)
+        return "".join(out.parts)
 
 
 def _closure(e: tuple) -> Callable[[Scope], Any]:
@@ -431,6 +566,29 @@ def _closure(e: tuple) -> Callable[[Scope], Any]:
     if kind == "filter":
         call, parts = FILTERS[e[1]], [_closure(x) for x in e[2:]]
         return lambda s: call(*[p(s) for p in parts])
+    if kind == "method":
+        (of, call), x, parts = METHODS[e[1]], _closure(e[2]), [_closure(a) for a in e[3:]]
+
+        def method(s: Scope) -> Any:
+            value = x(s)
+            return call(value, *[p(s) for p in parts]) if isinstance(value, of) else UNDEFINED
+
+        return method
+    if kind == "call":
+        name, keys, parts = e[1], e[2], [_closure(a) for a in e[3:]]
+        split = len(parts) - len(keys)
+
+        def run(s: Scope) -> Any:
+            f = s.get(name) if isinstance(s.get(name), _Made) else _FUNCTIONS.get(name)
+            if f is None:
+                raise RenderError(f"{name} can't be called")
+            values = [p(s) for p in parts]
+            try:
+                return f(*values[:split], **dict(zip(keys, values[split:], strict=True)))
+            except TypeError as error:
+                raise RenderError(f"{name} has other arguments") from error
+
+        return run
     call, parts = {"get": _get, "slice": _slice, "list": lambda *x: list(x)}[kind], [_closure(x) for x in e[1:]]
     return lambda s: call(*[p(s) for p in parts])
 
@@ -441,6 +599,8 @@ def fold_expression(e: tuple) -> tuple:
         return e
     e = tuple(fold_expression(x) if isinstance(x, tuple) else x for x in e)
     parts = [x for x in e[1:] if isinstance(x, tuple)]
+    if e[0] == "call":
+        return e
     if all(x[0] == "const" for x in parts):
         try:
             return ("const", _closure(e)({}))
@@ -482,9 +642,11 @@ def fold(nodes: list) -> list:
                 for x in other:
                     add(x)
         elif isinstance(node, For):
-            add(For(node.name, fold_expression(node.over), fold(node.body), fold(node.other)))
+            add(For(node.names, fold_expression(node.over), fold(node.body), fold(node.other)))
         elif isinstance(node, Set):
-            add(Set(node.name, fold_expression(node.value)))
+            add(Set(node.name, fold_expression(node.value), node.key))
+        elif isinstance(node, Macro):
+            add(Macro(node.name, [(n, fold_expression(x)) for n, x in node.parameters], fold(node.body)))
         elif isinstance(node, Generation):
             add(Generation(fold(node.body)))
         else:
@@ -500,6 +662,8 @@ class _Out:
         self.depth = 0
 
     def write(self, text: str) -> None:
+        if self.size + len(text) > LONGEST:
+            raise RenderError("a text is too long")
         self.parts.append(text)
         self.size += len(text)
 
@@ -527,12 +691,24 @@ def _step(node: Any) -> Step:
         value = _closure(node.value)
         return lambda s, out: out.write(_text(value(s)))
     if isinstance(node, Set):
-        name, value = node.name, _closure(node.value)
+        name, value, key = node.name, _closure(node.value), node.key
 
         def assign(s: Scope, out: _Out) -> None:
-            s[name] = value(s)
+            if key is None:
+                s[name] = value(s)
+            elif isinstance(s.get(name), Namespace):
+                s[name][key] = value(s)
+            else:
+                raise RenderError(f"{name} isn't a namespace")
 
         return assign
+    if isinstance(node, Macro):
+        parameters, content = [(n, _closure(x)) for n, x in node.parameters], _block(node.body)
+
+        def make(s: Scope, out: _Out) -> None:
+            s[node.name] = _Made(parameters, content, s)
+
+        return make
     if isinstance(node, If):
         branches, other = [(_closure(t), _block(b)) for t, b in node.branches], _block(node.other)
 
@@ -554,7 +730,7 @@ def _step(node: Any) -> Step:
                 out.spans.append([start, out.size])
 
         return mark
-    name, over, body, empty = node.name, _closure(node.over), _block(node.body), _block(node.other)
+    names, over, body, empty = node.names, _closure(node.over), _block(node.body), _block(node.other)
 
     def loop(s: Scope, out: _Out) -> None:
         items = over(s)
@@ -564,15 +740,21 @@ def _step(node: Any) -> Step:
         n = len(items)
         for i, x in enumerate(items):
             turn = {"index": i + 1, "index0": i, "first": i == 0, "last": i == n - 1, "length": n, "previtem": items[i - 1] if i else UNDEFINED, "nextitem": items[i + 1] if i + 1 < n else UNDEFINED}
-            body({**s, name: x, "loop": turn}, out)
+            if len(names) == 1:
+                mine = {names[0]: x}
+            elif isinstance(x, list) and len(x) == len(names):
+                mine = dict(zip(names, x, strict=True))
+            else:
+                raise RenderError(f"{len(names)} names aren't had from one value")
+            body({**s, **mine, "loop": turn}, out)
         return None
 
     return loop
 
 
-def compile_template(source: str) -> Callable[..., tuple[str, list[list[int]]]]:
+def compile_template(source: str, blocks: bool = False) -> Callable[..., tuple[str, list[list[int]]]]:
     """A function of the template's variables that returns the text and the spans of its generation blocks, in order."""
-    body = _block(fold(parse(source)))
+    body = _block(fold(parse(source, blocks)))
 
     def render(**variables: Any) -> tuple[str, list[list[int]]]:
         out = _Out()
@@ -582,19 +764,24 @@ def compile_template(source: str) -> Callable[..., tuple[str, list[list[int]]]]:
     return render
 
 
-def format_conversations(turns: DataFrame, template: str = CHATML, **variables: Any) -> DataFrame:
+def format_conversations(turns: DataFrame, template: str = CHATML, blocks: bool = False, **variables: Any) -> DataFrame:
     """``(conv_id, n_turns, rendered, generated)`` of each conversation; generated is ``array<struct<start, end>>`` in characters of rendered."""
-    compile_template(template)  # an error in it is the driver's
+    compile_template(template, blocks)  # an error in it is the driver's
     prepare(turns.sparkSession)
     given = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")).alias("m"))
     grouped = given.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("messages"))
     grouped = grouped.select("conv_id", F.col("messages.role").alias("roles"), F.col("messages.text").alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template)
+        render = compile_template(template, blocks)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            done = [render(messages=[{"role": r or "", "text": t or ""} for r, t in zip(roles, texts, strict=True)], **variables) for roles, texts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            done: list[tuple[str | None, list[list[int]]]] = []
+            for roles, texts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                try:
+                    done.append(render(messages=[{"role": r or "", "text": t or "", "content": t or ""} for r, t in zip(roles, texts, strict=True)], **variables))
+                except RenderError:
+                    done.append((None, []))
             spans = [[{"start": a, "end": z} for a, z in s] for _, s in done]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in b.column(1)], pa.int64()), pa.array([t for t, _ in done], pa.string()), pa.array(spans, kind)], ["conv_id", "n_turns", "rendered", "generated"])
 

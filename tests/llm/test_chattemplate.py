@@ -37,7 +37,7 @@ def test_language(source, want):
         assert out(source, **variables) == want
 
 
-@pytest.mark.parametrize("source", ["{% if x %}", "{% endif %}", "{{ a b }}", "{{ }}", "{{ f(x) }}", "{% import os %}", "{{ x | run }}", "{{ x is odd }}", "{{ x", "{% for x of y %}{% endfor %}", "{{ a $ b }}"])
+@pytest.mark.parametrize("source", ["{% if x %}", "{% endif %}", "{{ a b }}", "{{ }}", "{{ x.f(y) }}", "{{ (1)(2) }}", "{% macro f %}{% endmacro %}", "{% import os %}", "{{ x | run }}", "{{ x is odd }}", "{{ x", "{% for x of y %}{% endfor %}", "{{ a $ b }}"])
 def test_errors(source):
     with pytest.raises(ct.TemplateError):
         ct.compile_template(source)
@@ -75,3 +75,50 @@ def test_awkward_rows(spark):
     s = got[3].generated[0]
     assert got[3].rendered[s.start : s.end] == "{{ 1 }}<|im_end|>" and long in got[3].rendered
     assert ct.format_conversations(turns.limit(0)).count() == 0
+
+
+TURNS = [("system", "Be kind."), ("user", " Hi "), ("assistant", "Ho"), ("user", "Bye")]
+PUBLISHED = {
+    "default system": (
+        "{% for message in messages %}{% if loop.first and messages[0]['role'] != 'system' %}{{ '<|im_start|>system\nYou help.<|im_end|>\n' }}{% endif %}{{'<|im_start|>' + message['role'] + '\n' + message['content'] + '<|im_end|>' + '\n'}}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}",
+        "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>user\n Hi <|im_end|>\n<|im_start|>assistant\nHo<|im_end|>\n<|im_start|>user\nBye<|im_end|>\n<|im_start|>assistant\n",
+    ),
+    "instructions": (
+        "{% if messages[0]['role'] == 'system' %}{% set loop_messages = messages[1:] %}{% set system_message = messages[0]['content'] %}{% else %}{% set loop_messages = messages %}{% set system_message = false %}{% endif %}"
+        "{% for message in loop_messages %}{% if (message['role'] == 'user') != (loop.index0 % 2 == 0) %}{{ raise_exception('roles must alternate') }}{% endif %}"
+        "{% if loop.index0 == 0 and system_message != false %}{% set content = '<<SYS>>\n' + system_message + '\n<</SYS>>\n\n' + message['content'] %}{% else %}{% set content = message['content'] %}{% endif %}"
+        "{% if message['role'] == 'user' %}{{ bos_token + '[INST] ' + content.strip() + ' [/INST]' }}{% elif message['role'] == 'assistant' %}{{ ' ' + content.strip() + ' ' + eos_token }}{% endif %}{% endfor %}",
+        "<s>[INST] <<SYS>>\nBe kind.\n<</SYS>>\n\n Hi [/INST] Ho </s><s>[INST] Bye [/INST]",
+    ),
+    "headers": (
+        "{% set loop_messages = messages %}{% for message in loop_messages %}{% set content = '<|start_header_id|>' + message['role'] + '<|end_header_id|>\n\n'+ message['content'] | trim + '<|eot_id|>' %}{% if loop.index0 == 0 %}{% set content = bos_token + content %}{% endif %}{{ content }}{% endfor %}",
+        "<s>" + "".join(f"<|start_header_id|>{r}<|end_header_id|>\n\n{t.strip()}<|eot_id|>" for r, t in TURNS),
+    ),
+    "namespace": (
+        "{%- set ns = namespace(system='', n=0) -%}\n{%- for m in messages -%}\n  {%- if m.role == 'system' -%}{%- set ns.system = m.content -%}{%- endif -%}\n  {%- set ns.n = ns.n + 1 -%}\n{%- endfor -%}\n{{ ns.system }}|{{ ns.n }}|{{ messages | selectattr('role', 'equalto', 'user') | list | length }}|{{ messages[-1].content.startswith('B') }}",
+        "Be kind.|4|2|True",
+    ),
+    "macro and lines": (
+        "{% macro turn(role, text, end='#') %}\n[{{ role }}]{{ text }}{{ end }}\n{% endmacro %}\n{% for m in messages %}\n    {% if m.role in ['user', 'system'] %}\n{{ turn(m.role, m.content) }}\n    {% else %}\n    {% generation %}\n{{ m.content }}\n    {% endgeneration %}\n    {% endif %}\n{% endfor %}\n",
+        "[system]Be kind.#\n\n[user] Hi #\n\nHo\n[user]Bye#\n\n",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", PUBLISHED)
+def test_templates_of_published_forms(spark, name):
+    source, want = PUBLISHED[name]
+    turns = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(TURNS)] + [(2, 0, "assistant", "x"), (2, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in ct.format_conversations(turns, source, name == "macro and lines", bos_token="<s>", eos_token="</s>", add_generation_prompt=True).collect()}
+    assert got[1].rendered == want
+    if name == "macro and lines":
+        assert [got[1].rendered[s.start : s.end] for s in got[1].generated] == ["Ho\n"]
+    assert (got[2].rendered is None) == (name == "instructions") and got[2].n_turns == 2
+
+
+def test_the_sandbox_of_calls(monkeypatch):
+    monkeypatch.setattr(ct, "LONGEST", 1000)
+    for source in ("{% set n = namespace(s='xx') %}{% for a in m %}{% set n.s = n.s ~ n.s %}{% endfor %}", "{% macro f() %}{{ f() }}{% endmacro %}{{ f() }}", "{{ nothing() }}", "{% set x.y = 1 %}", "{{ namespace(1) }}", "{% for a, b in m %}{% endfor %}"):
+        with pytest.raises(ct.RenderError):
+            ct.compile_template(source)(m=list(range(20)))
+    assert out("{% for k, v in m.items() %}{{ k }}={{ v }};{% endfor %}{{ m.get('z', 3) }}{{ 'a b'.split() | join('-') }}{{ m.upper() }}", m={"a": 1, "b": 2}) == "a=1;b=2;3a-b"
