@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +31,37 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver found it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    """Let Python workers import this package: on this machine where the driver found it, elsewhere from an archive in the shared folder."""
+    sc = spark.sparkContext
+    if sc.master == "local" or sc.master.startswith("local["):
+        paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if ROOT not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    elif sc.applicationId not in _shipped:
+        name, content = archive()
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/silterra/{sc.applicationId}/{name}")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(content))
+        out.close()
+        sc.addPyFile(path.toString())
+        _shipped.add(sc.applicationId)
     return spark
 
 
+#: Applications that have the archive.
+_shipped: set[str] = set()
+
+
+def archive() -> tuple[str, bytes]:
+    """A zip of the package, and a name that tells its contents."""
+    package = Path(ROOT) / "silterra"
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(p for p in package.rglob("*") if p.is_file() and "__pycache__" not in p.parts):
+            z.write(p, p.relative_to(ROOT))
+    return f"silterra-{hashlib.sha256(content.getvalue()).hexdigest()[:16]}.zip", content.getvalue()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -60,7 +86,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables of one query in the shared folder. ``drop`` removes one early, the rest go when the interpreter ends."""
+    """Tables of one query in the shared folder that is added to the job. ``drop`` removes one early, the rest go when the interpreter ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark

@@ -78,7 +78,7 @@ def test_commands(spark, folder):
     assert sorted(map(json.dumps, read(out / "annotated"))) == sorted(map(json.dumps, tagged))
     run("true-jacc", "--config", str(settings), "--input", source, "--output", str(out / "jaccard"), "--components", str(out / "ccs"))
     pairs = spark.read.json(str(out / "jaccard")).collect()
-    assert len(pairs) == 21 + 1 + 1 and {r.jaccard for r in pairs} == {1.0}
+    assert len(pairs) == 6 + 1 + 1 and {r.jaccard for r in pairs} == {1.0}
     run("build-file-map", "--input", source, "--output", str(out / "map"))
     assert sorted(r["path_id"] for r in read(out / "map")) == [0, 1]
 
