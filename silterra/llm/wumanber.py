@@ -1,7 +1,7 @@
 """Benchmark decontamination by Wu-Manber search for many test strings at once.
 
-A test string is a window of ``WINDOW`` words of a benchmark item, or a whole item of ``LEAST`` to ``WINDOW`` words;
-shorter items are too common in clean text and are ignored. Texts and strings are compared as words in one form (see
+A test string is a window of ``WINDOW`` words of a benchmark item, or a whole item of fewer words. An item of fewer than ``LEAST`` words and than
+``SHORT`` bytes is a phrase that clean texts have as well: it is searched too, but only a text that is nothing else contains it. Texts and strings are compared as words in one form (see
 ``textbytes``), each between two spaces, so a match begins and ends with a word and case and punctuation don't matter.
 
 With ``m`` the length of the shortest string, a table tells for each block of ``BLOCK`` bytes how far its last
@@ -12,7 +12,7 @@ move at once, one for each ``SEGMENT`` bytes of text, so each step is an array o
 The automaton is broadcast. A benchmark of more than ``PART_BYTES`` is cut into parts by a hash of its item ids, and
 documents are searched once for each part, so what is broadcast is bounded and nothing is left out.
 
-Defined results: items with a null id or text and documents with a null text have no windows; documents with a null id
+Defined results: items with a null id or text or without words, and documents with a null text have no windows; documents with a null id
 aren't listed by ``contaminations``, but ``drop_contaminated`` drops them all the same if they contain a test string. Rows that
 repeat an ``item_id`` are one item with the windows of all its rows. Rows that repeat a ``doc_id`` are listed as one document,
 with the positions of all its rows counted. Of equal windows in several items each item is named. An empty benchmark contaminates nothing.
@@ -34,6 +34,7 @@ from silterra.session import prepare
 
 WINDOW = 13
 LEAST = 8
+SHORT = 32
 BLOCK = 8
 SEGMENT = 256
 PART_BYTES = 4 << 20
@@ -62,21 +63,25 @@ def _blocks(rows: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """Shift table, buckets and strings; ``items`` of a string are those that contain it."""
+    """Shift table, buckets and strings; ``items`` of a string are those that contain it. ``whole`` has the numbers of strings that are whole texts, after all others."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, least: int = LEAST):
         owners: dict[bytes, set[int]] = defaultdict(set)
+        alone: dict[bytes, set[int]] = defaultdict(set)
         for item, text in items:
             raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
             s, e, _, _ = words(raw, np.array([0, len(raw)]))
             low = fold(raw)
             w = [low[a:b].tobytes() for a, b in zip(s, e, strict=True)]
-            if len(w) < least:
+            if len(w) < least and sum(map(len, w)) + len(w) - 1 < SHORT:
+                if w:
+                    alone[b" ".join(w)].add(item)
                 continue
             for k in range(max(1, len(w) - window + 1)):
                 owners[b" " + b" ".join(w[k : k + window]) + b" "].add(item)
         self.strings = sorted(owners)
-        self.items = [sorted(owners[s]) for s in self.strings]
+        self.whole = {s: len(owners) + k for k, s in enumerate(sorted(alone))}
+        self.items = [sorted(owners[s]) for s in self.strings] + [sorted(alone[s]) for s in self.whole]
         self.shortest = m = min(map(len, self.strings), default=0)
         if not self.strings:
             return
@@ -132,7 +137,16 @@ def matches(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, int,
         string, at = automaton.find(out)
         word = np.searchsorted(place, at + 1)
         row = np.searchsorted(first, word, "right") - 1
-        yield i, n, row, string, word - first[row]
+        word = word - first[row]
+        if automaton.whole:
+            # Texts of as few words, up to the space after the last one.
+            few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < LEAST))
+            for r in few[place[first[few + 1] - 1] - place[first[few]] < SHORT]:
+                a, z = place[first[r]], place[first[r + 1] - 1]
+                end = z + out[z : z + SHORT].tobytes().find(b" ")
+                if (k := automaton.whole.get(out[a:end].tobytes())) is not None:
+                    string, row, word = np.append(string, k), np.append(row, r), np.append(word, 0)
+        yield i, n, row, string, word
 
 
 def automata(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[Automaton]:
@@ -198,12 +212,12 @@ WITH w AS (
   SELECT 1 AS kind, doc_id AS id, {WORDS_SQL} AS ws FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT 2, item_id, {WORDS_SQL} FROM benchmark WHERE text IS NOT NULL
 ), tests AS (
-  SELECT DISTINCT id AS item_id, least({WINDOW}, len(ws)) AS n, array_to_string(ws[k:k + {WINDOW - 1}], ' ') AS s
-  FROM (SELECT id, ws, unnest(range(1, greatest(1, len(ws) - {WINDOW - 1}) + 1)) AS k FROM w WHERE kind = 2 AND len(ws) >= {LEAST})
+  SELECT DISTINCT id AS item_id, least({WINDOW}, len(ws)) AS n, array_to_string(ws[k:k + {WINDOW - 1}], ' ') AS s, len(ws) < {LEAST} AND strlen(array_to_string(ws, ' ')) < {SHORT} AS alone
+  FROM (SELECT id, ws, unnest(range(1, greatest(1, len(ws) - {WINDOW - 1}) + 1)) AS k FROM w WHERE kind = 2 AND len(ws) > 0)
 ), sizes AS (SELECT DISTINCT n FROM tests),
 places AS (
-  SELECT id AS doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS s
+  SELECT id AS doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS s, len(ws) = n AS all_
   FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM w, sizes WHERE kind = 1 AND len(ws) >= n)
 )
-SELECT doc_id, item_id, min(k) - 1 AS first_word, count(DISTINCT k) AS windows FROM places JOIN tests USING (n, s) GROUP BY doc_id, item_id
+SELECT doc_id, item_id, min(k) - 1 AS first_word, count(DISTINCT k) AS windows FROM places JOIN tests USING (n, s) WHERE all_ OR NOT alone GROUP BY doc_id, item_id
 """
