@@ -51,9 +51,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         c = C.minhash_config(given)
         rows, found = commands.load(spark, source, c.content_key), spark.read.parquet(a.components)
         if a.command == "annotate":
-            files.write_lines(commands._with_struct(commands._tagged(rows, found, c), "minhash"), output)
+            files.write_lines(commands._with_struct(commands._tagged(rows, found, c), "minhash"), output, source)
         else:
-            files.write_lines(commands.prune_lines(rows, found, c), output)
+            files.write_lines(commands.prune_lines(rows, found, c), output, source)
     elif a.command == "true-jacc":
         commands.true_jaccard(spark, C.minhash_config(given), source, a.components, output)
     else:

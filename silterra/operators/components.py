@@ -13,7 +13,7 @@ from silterra.operators.skew import group_join
 from silterra.session import Scratch, prepare
 
 #: Edges that a task solves at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

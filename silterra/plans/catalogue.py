@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from silterra.config import MinHashConfig
+from silterra.config import ExactConfig, MinHashConfig, SubsampleConfig
 from silterra.functions import text as T
 from silterra.operators import apply, exact, minhash
-from silterra.plans import oracles
+from silterra.plans import commands, oracles
 from silterra.session import Scratch, table
 from silterra.sources import files
 
@@ -19,7 +21,8 @@ CHUNKS = 4
 RATE, MAX_SIZE, SEED = 0.5, 4, 7
 #: Conversations are taken as the lines of so many files.
 FILES = 64
-TOKENIZERS = "/opt/tokenizers"
+#: The folder of vocabularies that ``tokenize_bpe`` uses.
+TOKENIZERS = os.environ.get("SILTERRA_TOKENIZERS", "/opt/tokenizers")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +179,79 @@ def concat_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.concat_prune(rows, killed, [F.col("conv_id")]).select("path_id", "line_num", "conv_id", "turn")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of JSON lines that documents are written to, ``FILES`` files by id, in order of ids."""
+    rows = _docs(spark, sf_dir).withColumn("file", F.pmod("doc_id", F.lit(FILES)))
+    value = F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars"), {"ignoreNullFields": "false"}).alias("value")
+    scratch = Scratch(spark)
+    rows.repartition(FILES, "file").sortWithinPartitions("file", "doc_id").select("file", value).write.partitionBy("file").text(f"{scratch.root}/lines")
+    return f"{scratch.root}/lines"
+
+
+def _command(spark: SparkSession, run: Callable[[str], object], fields: str) -> DataFrame:
+    """What a command makes of a folder, read again."""
+    output = f"{Scratch(spark).root}/output"
+    run(output)
+    return files.read_jsonl(spark, output, fields)
+
+
+def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_jsonl(spark, _lines(spark, sf_dir), _docs(spark, sf_dir).schema)
+
+
+def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.with_doc_ids(files.read_lines(spark, _lines(spark, sf_dir)))
+    return rows.select("path_id", "line_num", F.col("doc_id").alias("packed"), files.nested(F.col("raw"), "doc_id").cast("long").alias("doc_id"), F.md5(files.content(F.col("raw"), "text")).alias("digest"))
+
+
+def command_exact_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _lines(spark, sf_dir)
+    return _command(spark, lambda out: commands.exact_dedup(spark, ExactConfig(), source, out), "doc_id long, lang string")
+
+
+def command_exact_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _lines(spark, sf_dir)
+    found = _command(spark, lambda out: commands.exact_dedup(spark, ExactConfig(annotate_only=True), source, out), "doc_id long, exact_dedup struct<cc_id: long, cc_size: long, cc_idx: long>")
+    return found.select("doc_id", "exact_dedup.*")
+
+
+def command_min_hash_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _lines(spark, sf_dir)
+    return _command(spark, lambda out: commands.min_hash(spark, FUZZY, source, out), "doc_id long, lang string")
+
+
+def command_min_hash_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, config = _lines(spark, sf_dir), dataclasses.replace(FUZZY, annotate_only=True)
+    found = _command(spark, lambda out: commands.min_hash(spark, config, source, out), "doc_id long, minhash struct<cc_id: long, cc_size: long, cc_idx: long>")
+    return found.select("doc_id", "minhash.*")
+
+
+def command_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hash-only in two chunks, gather-edges, build-uf: ``(doc_id, cc_id)`` with packed ids."""
+    source, root = _lines(spark, sf_dir), Scratch(spark).root
+    for chunk in range(2):
+        commands.hash_only(spark, FUZZY, source, f"{root}/signatures/{chunk}", chunk, 2)
+    both = spark.read.parquet(f"{root}/signatures/0").union(spark.read.parquet(f"{root}/signatures/1"))
+    both.write.parquet(f"{root}/all")
+    commands.gather_edges(spark, f"{root}/all", f"{root}/edges")
+    commands.build_components(spark, f"{root}/edges", f"{root}/components")
+    return spark.read.parquet(f"{root}/components")
+
+
+def command_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, tagged = _lines(spark, sf_dir), f"{Scratch(spark).root}/tagged"
+    commands.exact_dedup(spark, ExactConfig(annotate_only=True), source, tagged)
+    config = SubsampleConfig(subsample_rate=RATE, max_cc_size=MAX_SIZE, seed=SEED)
+    return _command(spark, lambda out: commands.subsample(spark, config, tagged, out), "doc_id long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         scan_documents, path_chunk, path_line_counts, docid_pack, exact_annotate, exact_groups, exact_prune, cc_size_index, cc_size_histogram, dedup_metrics,
         clean_text, tokenize_words, tokenize_uniseg, tokenize_bytes, tokenize_bpe, shingles, minhash_vector, band_signatures, lsh_groups, minhash_exact_mode,
         connected_components, kill_list, fuzzy_prune, fuzzy_annotate, fuzzy_metrics, true_jaccard, dup_aware_subsample, concat_group, concat_prune,
+        jsonl_scan, jsonl_line_numbers, command_exact_prune, command_exact_annotate, command_min_hash_prune, command_min_hash_annotate, command_stages, command_subsample,
     )
 }
 ORACLES: dict[str, str] = oracles.build(FUZZY, CHUNKS, RATE, MAX_SIZE, SEED, FILES)

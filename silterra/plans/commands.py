@@ -66,10 +66,10 @@ def prune_lines(rows: DataFrame, components: DataFrame, config: MinHashConfig) -
 
 
 def _with_struct(rows: DataFrame, name: str) -> DataFrame:
-    """``(path, value)``: each raw line with a further object."""
+    """``(path, line_num, raw)``: each raw line with a further object."""
     body = F.regexp_replace("raw", r"\}\s*$", "")
     comma = F.when(F.regexp_like("raw", F.lit(r"^\s*\{\s*\}\s*$")), "").otherwise(",")
-    return rows.select("path", F.concat(body, comma, F.lit(f'"{name}":'), F.to_json(name), F.lit("}")).alias("raw"))
+    return rows.select("path", "line_num", F.concat(body, comma, F.lit(f'"{name}":'), F.to_json(name), F.lit("}")).alias("raw"))
 
 
 def min_hash(spark: SparkSession, config: MinHashConfig, path: str, output: str) -> DataFrame:
@@ -78,9 +78,9 @@ def min_hash(spark: SparkSession, config: MinHashConfig, path: str, output: str)
     docs = documents(rows, config)
     components = Scratch(spark).write(minhash.fuzzy_components(docs, config), "components")
     if config.annotate_only:
-        files.write_lines(_with_struct(_tagged(rows, components, config), "minhash"), output)
+        files.write_lines(_with_struct(_tagged(rows, components, config), "minhash"), output, path)
     else:
-        files.write_lines(prune_lines(rows, components, config), output)
+        files.write_lines(prune_lines(rows, components, config), output, path)
     whole = docs.select("doc_id").join(components, "doc_id", "left").select(F.coalesce("cc_id", "doc_id").alias("cc_id"))
     return exact.metrics(whole)
 
@@ -89,10 +89,10 @@ def exact_dedup(spark: SparkSession, config: ExactConfig, path: str, output: str
     rows = load(spark, path, config.text_field)
     groups = Scratch(spark).write(exact.text_groups(rows, config.text_field), "groups")
     if config.annotate_only:
-        tagged = rows.join(groups.select("doc_id", F.struct("cc_id", "cc_size", "cc_idx").alias("exact_dedup")), "doc_id")
-        files.write_lines(_with_struct(tagged, "exact_dedup"), output)
+        tagged = rows.join(groups.select("doc_id", F.struct("cc_id", "cc_size", "cc_idx").alias("exact_dedup")).hint("shuffle_hash"), "doc_id")
+        files.write_lines(_with_struct(tagged, "exact_dedup"), output, path)
     else:
-        files.write_lines(rows.join(groups.where("cc_idx > 0").select("doc_id"), "doc_id", "left_anti"), output)
+        files.write_lines(rows.join(groups.where("cc_idx > 0").select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti"), output, path)
     return exact.metrics(groups)
 
 
@@ -101,7 +101,7 @@ def subsample(spark: SparkSession, config: SubsampleConfig, path: str, output: s
     rows = files.read_lines(spark, path)
     cc = F.variant_get(F.parse_json("raw"), f"$.{config.cc_field}.cc_id", "decimal(20,0)")
     tagged = rows.withColumn("__group", F.struct(cc.alias("cc_id")))
-    files.write_lines(apply.dup_aware_subsample(tagged, "__group", config.subsample_rate, config.max_cc_size, config.seed), output)
+    files.write_lines(apply.dup_aware_subsample(tagged, "__group", config.subsample_rate, config.max_cc_size, config.seed), output, path)
 
 
 def true_jaccard(spark: SparkSession, config: MinHashConfig, path: str, components: str, output: str) -> None:
@@ -110,7 +110,12 @@ def true_jaccard(spark: SparkSession, config: MinHashConfig, path: str, componen
 
 
 def build_file_map(spark: SparkSession, path: str, output: str) -> None:
-    files.write_jsonl(files.path_ids(files.read_lines(spark, path)), output)
+    files.write_jsonl(files.read_lines(spark, path).select("path", "path_id").distinct(), output)
+
+
+def load_file_map(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, path_id)`` as ``build_file_map`` wrote it."""
+    return files.read_jsonl(spark, path, "path string, path_id long")
 
 
 COMMANDS: dict[str, Callable] = {

@@ -39,7 +39,20 @@ components AS (SELECT doc_id, min(r) AS cc_id FROM reach GROUP BY doc_id)"""
     joined = "SELECT path_id, group_line, coalesce(string_agg(text, chr(10) ORDER BY line_num), '') AS text FROM ({runs}) GROUP BY path_id, group_line"
     metrics = "SELECT coalesce(sum(cc_size), 0)::BIGINT AS docs, count(*) AS groups, (coalesce(sum(cc_size), 0) - count(*))::BIGINT AS removed, round(CASE WHEN count(*) = 0 THEN 0 ELSE (sum(cc_size) - count(*)) / sum(cc_size)::DOUBLE END, 6) AS removal_rate FROM (SELECT cc_id, count(*) AS cc_size FROM {g} GROUP BY cc_id)"
     words = f"SELECT doc_id, len(tok) AS n_tokens, array_to_string(tok, chr(31)) AS tokens FROM (SELECT doc_id, regexp_extract_all({_CLEAN}, '{WORD}') AS tok FROM documents)"
+    lines = f"SELECT *, dense_rank() OVER (ORDER BY (doc_id % {files})::VARCHAR) - 1 AS path_id, row_number() OVER (PARTITION BY doc_id % {files} ORDER BY doc_id) - 1 AS line_num FROM documents"
+    packed = f"SELECT *, path_id * 4294967296 + line_num AS packed FROM ({lines})"
+    of_lines = f"SELECT *, min(packed) OVER (PARTITION BY text) AS cc_id, count(*) OVER (PARTITION BY text) AS cc_size, row_number() OVER (PARTITION BY text ORDER BY packed) - 1 AS cc_idx FROM ({packed})"
+    fuzzy_lines = f"""{components}, fuzzy AS (SELECT *, min(packed) OVER (PARTITION BY root) AS cc_id, count(*) OVER (PARTITION BY root) AS cc_size, row_number() OVER (PARTITION BY root ORDER BY packed) - 1 AS cc_idx
+  FROM (SELECT p.*, coalesce(c.cc_id, p.doc_id) AS root FROM ({packed}) p LEFT JOIN components c USING (doc_id)))"""
     return {
+        "jsonl_scan": "SELECT * FROM documents",
+        "jsonl_line_numbers": f"SELECT path_id, line_num, packed, doc_id, md5(text) AS digest FROM ({packed})",
+        "command_exact_prune": f"SELECT doc_id, lang FROM ({of_lines}) WHERE cc_idx = 0",
+        "command_exact_annotate": f"SELECT doc_id, cc_id, cc_size, cc_idx FROM ({of_lines})",
+        "command_min_hash_prune": f"{fuzzy_lines} SELECT doc_id, lang FROM fuzzy WHERE cc_idx = 0",
+        "command_min_hash_annotate": f"{fuzzy_lines} SELECT doc_id, cc_id, cc_size, cc_idx FROM fuzzy",
+        "command_stages": f"{fuzzy_lines} SELECT packed AS doc_id, cc_id FROM fuzzy WHERE cc_size > 1",
+        "command_subsample": f"SELECT doc_id FROM ({of_lines}) WHERE cc_size <= {max_size} AND (('0x' || substr(md5('{seed}:' || cc_id), 1, 8))::BIGINT) % {PRIME} < {rate * PRIME}",
         "scan_documents": "SELECT * FROM documents",
         "path_chunk": f"SELECT doc_id, path_id, path_id % {chunks} AS chunk FROM ({numbered})",
         "path_line_counts": f"SELECT path_id, max(line_num) + 1 AS lines FROM ({numbered}) GROUP BY path_id",

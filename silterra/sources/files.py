@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silterra.session import Scratch
+
 LINE_BITS = 32
 
 
@@ -15,11 +17,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line_num, raw)`` of every line; lines of a file are numbered from 0, whatever splits it is read in."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("raw"))
-    order = Window.partitionBy("path").orderBy("__block", "__at")
-    return lines.withColumn("line_num", (F.row_number().over(order) - 1).cast("long")).select("path", "line_num", "raw")
+def read_lines(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """``(path, path_id, line_num, raw)`` of every line, of files whose name matches the pattern ``name`` if one is given.
+
+    Lines of a file are numbered from 0, whatever splits it is read in, and files from 0 in the order of their names. Lines are counted by split
+    in a pass of their own, so no line is moved for its number: the table of splits is broadcast, and the driver plans by such a table anyway.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true")
+    lines = (reader.option("pathGlobFilter", name) if name else reader).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("raw"))
+    splits = lines.groupBy("path", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    splits = Scratch(spark).write(with_path_ids(splits), "splits")
+    rows = lines.join(F.broadcast(splits), ["path", "__block"])
+    return rows.select("path", "path_id", (F.col("__before") + F.col("__at") - F.col("__first")).alias("line_num"), "raw")
 
 
 def content(raw: Column, key: str) -> Column:
@@ -39,7 +51,8 @@ def path_ids(rows: DataFrame, path: str = "path") -> DataFrame:
 
 
 def with_path_ids(rows: DataFrame, path: str = "path") -> DataFrame:
-    ids = path_ids(rows, path).withColumnRenamed(path, "__path")
+    """rows with ``path_id``; there is one row for each file in what is broadcast, and the driver lists the files anyway."""
+    ids = F.broadcast(path_ids(rows, path).withColumnRenamed(path, "__path"))
     return rows.join(ids, rows[path].eqNullSafe(ids["__path"])).drop("__path")
 
 
@@ -58,8 +71,8 @@ def unpack(doc_id: Column) -> tuple[Column, Column]:
 
 
 def with_doc_ids(rows: DataFrame) -> DataFrame:
-    """``(path, line_num, ...)`` with ``path_id`` and a packed ``doc_id``."""
-    return with_path_ids(rows).withColumn("doc_id", pack(F.col("path_id"), F.col("line_num")))
+    """``(path, path_id, line_num, ...)`` with a packed ``doc_id``."""
+    return rows.withColumn("doc_id", pack(F.col("path_id"), F.col("line_num")))
 
 
 def write_jsonl(rows: DataFrame, path: str, compression: str = "none", by: str | None = None) -> None:
@@ -68,7 +81,32 @@ def write_jsonl(rows: DataFrame, path: str, compression: str = "none", by: str |
     (writer.partitionBy(by) if by else writer).json(path)
 
 
-def write_lines(rows: DataFrame, path: str, raw: str = "raw", by: str | None = None, compression: str = "none") -> None:
-    """The raw lines as they were read."""
-    writer = rows.select(F.col(raw).alias("value"), *([by] if by else [])).write.mode("overwrite").option("compression", compression)
-    (writer.partitionBy(by) if by else writer).text(path)
+def write_lines(rows: DataFrame, path: str, source: str) -> None:
+    """The raw lines of ``(path, line_num, raw)`` in files named as those in the folder source that they come from, in their order.
+
+    A compressed file's name loses its ending. A file that more than one task writes is a folder of parts in order; one without lines isn't there.
+    """
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(source)
+    root = root.getFileSystem(conf).makeQualified(root).toUri().getRawPath().rstrip("/") + "/"
+    at = F.locate(root, F.col("path"))
+    inside = F.when(at > 0, F.substring(F.col("path"), at + len(root), F.length("path"))).otherwise(F.substring_index("path", "/", -1))
+    inside = F.regexp_replace(F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B"))), r"\.(gz|zst|bz2|lz4|snappy|deflate)$", "")
+    parts = jvm.org.apache.hadoop.fs.Path(path, "_parts")
+    named = rows.select(inside.alias("__file"), "line_num", F.col("raw").alias("value"))
+    ordered = named.repartitionByRange("__file", "line_num").sortWithinPartitions("__file", "line_num").select("__file", "value")
+    fs = parts.getFileSystem(conf)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+    ordered.write.partitionBy("__file").text(parts.toString())
+    for folder in fs.listStatus(parts):
+        name = folder.getPath().getName()
+        if not name.startswith("__file="):
+            continue
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name.removeprefix("__file="))
+        target = jvm.org.apache.hadoop.fs.Path(path, name)
+        fs.mkdirs(target.getParent())
+        pieces = [x.getPath() for x in fs.listStatus(folder.getPath())]
+        fs.rename(pieces[0] if len(pieces) == 1 else folder.getPath(), target)
+    fs.delete(parts, True)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silterra.__main__ import main
+from silterra.plans import commands
 from silterra.sources import files
 
 LINES = ["alpha beta", "alpha beta", "one", "one", "one", "one", " one", "one", "one", "last text"]
@@ -24,7 +25,7 @@ def folder(tmp_path):
 
 
 def read(folder):
-    return [json.loads(x) for p in sorted(folder.rglob("part-*")) if p.suffix in ("", ".txt", ".json") for x in p.read_text().splitlines()]
+    return [json.loads(x) for p in sorted(folder.rglob("*")) if p.is_file() and p.name[0] not in "._" for x in p.read_text().splitlines()]
 
 
 def test_lines_are_numbered(spark, folder):
@@ -60,6 +61,9 @@ def test_commands(spark, folder):
     run = lambda *a: main(list(a), spark)
     run("exact-dedup", "--config", str(settings), "--input", source, "--output", str(out / "exact"))
     assert sorted(r["text"] for r in read(out / "exact")) == sorted([*set(LINES), "other"])
+    assert [json.loads(x)["n"] for x in (out / "exact" / "a.jsonl").read_text().splitlines()] == [0, 2, 6, 9]
+    assert [json.loads(x)["text"] for x in (out / "exact" / "deep" / "b.jsonl").read_text().splitlines()] == ["other"]
+    assert {p.name for p in (out / "exact").rglob("*") if p.is_file() and p.name[0] != "."} == {"a.jsonl", "b.jsonl"}
     run("min-hash", "--config", str(settings), "--input", source, "--output", str(out / "same"))
     assert sorted(r["text"] for r in read(out / "same")) == sorted([*set(LINES), "other"])
     settings.write_text(settings.read_text() + "exact_override: true\nannotate_only: true\n")
@@ -81,6 +85,8 @@ def test_commands(spark, folder):
     assert len(pairs) == 6 + 1 + 1 and {r.jaccard for r in pairs} == {1.0}
     run("build-file-map", "--input", source, "--output", str(out / "map"))
     assert sorted(r["path_id"] for r in read(out / "map")) == [0, 1]
+    assert commands.load_file_map(spark, str(out / "map")).count() == 2
+    assert files.read_lines(spark, source, "*.gz").count() == 2
 
 
 def test_runs_as_documents(spark, tmp_path):
