@@ -39,7 +39,7 @@ ROWS = 4
 THRESHOLD = 0.5
 #: Members of a bucket that are compared with as many others at a time.
 SIDE = 512
-_PAIRS = 1 << 16
+_PAIRS = 1 << 14
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:

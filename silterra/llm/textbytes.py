@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: A piece holds fewer texts than this power of two, so that a text's number in it fits beside a hash.
 GROUP_BITS = 16
 U64 = np.uint64
