@@ -21,7 +21,7 @@ def held(frame, monkeypatch, batch):
     return [len(b) for b in taken[0](iter([batch]))]
 
 
-@pytest.mark.parametrize("make", [lambda d: T.bpe_tokens(d, "/opt/tokenizers")], ids=["bpe"])
+@pytest.mark.parametrize("make", [lambda d: T.uniseg_tokens(d), lambda d: T.bpe_tokens(d, "/opt/tokenizers")], ids=["uniseg", "bpe"])
 def test_tokens_of_a_batch_are_held_by_pieces(spark, monkeypatch, make):
     docs = spark.createDataFrame([], "doc_id long, text string")
     batch = pa.record_batch([pa.array(range(100)), pa.array(["word " * 1000] * 100)], ["doc_id", "t"])
