@@ -1,5 +1,6 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from silterra.functions import text as T
 
@@ -27,3 +28,12 @@ def test_tokens_of_a_batch_are_held_by_pieces(spark, monkeypatch, make):
     batch = pa.record_batch([pa.array(range(100)), pa.array(["word " * 1000] * 100)], ["doc_id", "t"])
     rows = held(lambda: make(docs), monkeypatch, batch)
     assert sum(rows) == 100 and max(rows) * 5000 <= T.PIECE
+
+
+def test_joined_tokens(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    tokens = T.tokens(F.col("text"), "uniseg")
+    want = docs.select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(tokens, T.SEPARATOR).alias("tokens")).collect()
+    got = T.joined_tokens(docs)
+    assert sorted(got.collect()) == sorted(want) and got.columns == ["doc_id", "n_tokens", "tokens"]
+    assert T.joined_tokens(docs.where("text is null")).collect() == [(1, None, None)]
