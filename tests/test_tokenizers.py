@@ -1,8 +1,12 @@
+import hashlib
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from silterra.config import MinHashConfig
 from silterra.functions import text as T
+from silterra.operators import minhash
 
 TEXTS = ["Can't stop, won't\nstop 3.5 été", None, "", "...", "a b a b a b a b", "这是 一个。", "x" * 3000 + " y"]
 
@@ -37,3 +41,10 @@ def test_joined_tokens(spark):
     got = T.joined_tokens(docs)
     assert sorted(got.collect()) == sorted(want) and got.columns == ["doc_id", "n_tokens", "tokens"]
     assert T.joined_tokens(docs.where("text is null")).collect() == [(1, None, None)]
+
+
+def test_shingle_digests(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.digest) for r in minhash.shingle_digests(docs, MinHashConfig(ngram_size=3)).collect()}
+    sets = {r.doc_id: r.s for r in docs.where("text is not null").select("doc_id", T.shingles(T.tokens(F.col("text"), "uniseg"), 3).alias("s")).collect()}
+    assert got == {i: (len(s), hashlib.md5("\x1e".join(s).encode()).hexdigest()) for i, s in sets.items()} and len(got) == 6
