@@ -45,3 +45,15 @@ def test_line_breaks_are_no_reason_to_cut_by_unicodes_rules(monkeypatch):
     raw, start, end, first = T._cut(["One line,\r\n\tand another\n", "", " \n.", "été"])
     got = [[bytes(raw[a:z]).decode() for a, z in zip(start[i:j], end[i:j], strict=True)] for i, j in zip(first[:-1], first[1:], strict=True)]
     assert got == [["one", " ", "line", " ", "and", " ", "another"], [], [], ["été"]]
+
+
+def test_sets_of_shingles_are_hashed_at_once(spark):
+    from silterra.config import MinHashConfig
+    from silterra.operators.apply import shingle_sets
+
+    docs = spark.createDataFrame([(7, 1, "b a b a"), (7, 2, ""), (7, 3, None)], "cc_id long, doc_id long, text string")
+    got = {r.doc_id: (r.size, bytes(r.hashes)) for r in shingle_sets(docs, MinHashConfig(ngram_size=2)).collect()}
+    halves = lambda s: np.frombuffer(hashlib.md5(s.encode()).digest()[:8], "<u4").tolist()
+    number = lambda s: halves(s)[0] << 32 | halves(s)[1]
+    sets = {1: ["b\x1f ", " \x1fa", "a\x1f ", " \x1fb"], 2: [""]}
+    assert got == {i: (len(s), np.array(sorted(map(number, s)), np.uint64).tobytes()) for i, s in sets.items()}
