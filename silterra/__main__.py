@@ -11,7 +11,6 @@ from pyspark.sql import SparkSession
 from silterra import config as C
 from silterra.plans import commands
 from silterra.session import local_session, prepare
-from silterra.sources import files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -50,10 +49,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command in ("uf-size-prune", "annotate"):
         c = C.minhash_config(given)
         rows, found = commands.load(spark, source, c.content_key), spark.read.parquet(a.components)
-        if a.command == "annotate":
-            files.write_lines(commands._with_struct(commands._tagged(rows, found, c), "minhash"), output, source)
-        else:
-            files.write_lines(commands.prune_lines(rows, found, c), output, source)
+        (commands.write_tagged if a.command == "annotate" else commands.write_pruned)(rows, found, c, output, source)
     elif a.command == "true-jacc":
         commands.true_jaccard(spark, C.minhash_config(given), source, a.components, output)
     else:
