@@ -3,6 +3,7 @@ import json
 import random
 
 from silterra.config import ExactConfig, MinHashConfig, SubsampleConfig
+from silterra.operators import minhash
 from silterra.plans import commands
 
 KEEP = {"subsample_rate": 1.0, "seed": 3}
@@ -54,3 +55,23 @@ def test_long_files_are_folders_of_parts_in_order(spark, tmp_path, monkeypatch):
     for f in range(4):
         parts = sorted((tmp_path / "out" / f"{f}.jsonl").glob("part-*"))
         assert len(parts) == 4 and [json.loads(x)["n"] for p in parts for x in p.read_text().splitlines()] == [n for n in range(60 * f, 60 * f + 60) if n % 5 < 4]
+
+
+def test_min_hash_annotate_moves_lines_once(spark, tmp_path):
+    size = corpus(tmp_path / "in")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    assert shuffled(spark, lambda: commands.min_hash(spark, MinHashConfig(annotate_only=True), source, out), "annotate") < 1.4 * size
+    assert numbers(tmp_path / "out") == {f"{f}.jsonl": [*range(60 * f, 60 * f + 60)] for f in range(4)}
+
+
+def test_short_keys_of_bands_are_equal_where_signatures_are(spark):
+    texts = ["a b c d e f g h", "a b c d e f g h", "a b c d e f g i", "", "", "x y z", None, *(f"{'w ' * k}q r s t u" for k in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    config = MinHashConfig(num_bands=20, band_size=2)
+    groups = []
+    for rows in (minhash.band_keys(docs, config), minhash.band_signatures(minhash.minhash_vectors(docs, config), config)):
+        found = {}
+        for r in rows.collect():
+            found.setdefault((r.band, bytes(r.sig) if isinstance(r.sig, bytearray) else r.sig), []).append(r.doc_id)
+        groups.append(sorted((b, sorted(ids)) for (b, _), ids in found.items()))
+    assert groups[0] == groups[1] and any(len(ids) > 2 for _, ids in groups[0])
